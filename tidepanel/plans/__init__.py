@@ -1,6 +1,6 @@
 """Queries over the given tables, one module per operator family."""
 
-from tidepanel.plans import panel, audits, scoring, launches, effects  # noqa: F401  (register their queries)
+from tidepanel.plans import panel, audits, scoring, launches, effects, grain, deliveries  # noqa: F401  (register their queries)
 from tidepanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -176,47 +176,57 @@ BASE_SPEC = ("sku:s week:d channel:s region:s units_sold:f stock_available:f pro
              "sku_age:i lifecycle_stage:s lag_1:f lag_2:f rolling_mean_4:f rolling_std_4:f momentum:f "
              "target_next_week:f")
 
-cte("attrs", "SELECT DISTINCT sku, brand, segment, category FROM daily")
-cte("internal", """
+def feature_ctes(prefix: str, daily: str) -> None:
+    """Enrichment and feature table on top of ``weekly_ctes`` with the same prefix."""
+    p = prefix
+    cte(f"{p}attrs", f"SELECT DISTINCT sku, brand, segment, category FROM {daily}")
+    cte(f"{p}internal", f"""
 SELECT sku, channel, region, CAST(date_trunc('week', date) AS DATE) AS week, avg(price_unit) AS price_avg,
        avg(promotion_flag) AS promo_rate, avg(stock_available) AS stock_avg, count(delivery_days) AS deliveries
-FROM daily GROUP BY ALL HAVING avg(price_unit) IS NOT NULL
+FROM {daily} GROUP BY ALL HAVING avg(price_unit) IS NOT NULL
 """)
-cte("event_scores", """
+    cte(f"{p}event_scores", f"""
 SELECT w.week, CASE WHEN min(abs(date_diff('day', w.week, d.day))) <= 7
                     THEN 1.0 - min(abs(date_diff('day', w.week, d.day))) / 7.0 * 0.15 ELSE 0.0 END AS event_score
-FROM (SELECT DISTINCT week FROM base) w, event_days d GROUP BY w.week
+FROM (SELECT DISTINCT week FROM {p}base) w, event_days d GROUP BY w.week
 """)
-cte("context", """
+    cte(f"{p}context", f"""
 SELECT x.region, x.week,
        9.0 + 0.6 * rk + (9.0 + 0.5 * rk) * sin(2 * pi() * (dayofyear(x.week) - 172) / 365.25) AS avg_temp,
        160.0 * pow(1.018, date_diff('day', lo, x.week) / 7.0 / 52.0) AS inflation_index,
        CASE WHEN month(x.week) IN (7, 8) THEN 0 ELSE 1 END AS school_in_session, e.event_score
-FROM (SELECT DISTINCT region, week FROM base) x
-JOIN (SELECT region, rank() OVER (ORDER BY region) - 1 AS rk FROM (SELECT DISTINCT region FROM base)) r USING (region)
-JOIN event_scores e USING (week), (SELECT min(week) AS lo FROM base)
+FROM (SELECT DISTINCT region, week FROM {p}base) x
+JOIN (SELECT region, rank() OVER (ORDER BY region) - 1 AS rk FROM (SELECT DISTINCT region FROM {p}base)) r USING (region)
+JOIN {p}event_scores e USING (week), (SELECT min(week) AS lo FROM {p}base)
 """)
-cte("labelled", "SELECT b.*, a.brand, a.segment, a.category FROM base b LEFT JOIN attrs a USING (sku)")
-cte("trend", """
+    cte(f"{p}labelled", f"SELECT b.*, a.brand, a.segment, a.category FROM {p}base b LEFT JOIN {p}attrs a USING (sku)")
+    cte(f"{p}trend", f"""
 SELECT category, region, week,
        avg(m) OVER w / nullif(first_value(m) OVER w, 0) AS category_trend
-FROM (SELECT category, region, week, avg(units_sold) AS m FROM labelled GROUP BY ALL)
+FROM (SELECT category, region, week, avg(units_sold) AS m FROM {p}labelled GROUP BY ALL)
 WINDOW w AS (PARTITION BY category, region ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
-cte("enriched", """
+    cte(f"{p}enriched", f"""
 SELECT l.*, i.price_avg, i.promo_rate, i.stock_avg, i.deliveries, c.avg_temp, c.inflation_index, c.school_in_session,
        c.event_score, t.category_trend
-FROM labelled l LEFT JOIN internal i USING (sku, channel, region, week)
-LEFT JOIN context c USING (region, week) LEFT JOIN trend t USING (category, region, week)
+FROM {p}labelled l LEFT JOIN {p}internal i USING (sku, channel, region, week)
+LEFT JOIN {p}context c USING (region, week) LEFT JOIN {p}trend t USING (category, region, week)
 """)
-cte("features", """
+    cte(f"{p}features", f"""
 SELECT *, price_unit / nullif(avg(price_unit) OVER (PARTITION BY category, week), 0) AS price_index,
        date_diff('day', max(CASE WHEN promotion_flag = 1 THEN week END) OVER (s ROWS UNBOUNDED PRECEDING), week) / 7
          AS promo_recency,
        avg(promotion_flag) OVER (s ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS rolling_promo_rate,
        units_sold / nullif(sum(units_sold) OVER (PARTITION BY sku, region, week), 0) AS cross_channel_demand_share
-FROM enriched WINDOW s AS (PARTITION BY sku, channel, region ORDER BY week)
+FROM {p}enriched WINDOW s AS (PARTITION BY sku, channel, region ORDER BY week)
 """)
+
+
+feature_ctes("", "daily")
+# The same tables as they would have been built from history alone.
+cte("hist_daily", _DAILY.format(rows="(SELECT * FROM sales_rows WHERE date < DATE '2001-10-01')"))
+weekly_ctes("hist_", "hist_daily")
+feature_ctes("hist_", "hist_daily")
 ENRICHED_SPEC = (BASE_SPEC + " brand:s segment:s category:s price_avg:f promo_rate:f stock_avg:f deliveries:i "
                  "avg_temp:f inflation_index:f school_in_session:i event_score:f category_trend:f")
 FEATURE_SPEC = ENRICHED_SPEC + " price_index:f promo_recency:f rolling_promo_rate:f cross_channel_demand_share:f"
