@@ -29,25 +29,30 @@ def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFram
     return df
 
 
-def ordered_target_encoding(df: DataFrame, column: str, target: str, prior_weight: float = 1.0) -> DataFrame:
-    """Mean of the category's earlier targets, blended with the mean of all earlier targets.
+def ordered_target_means(df: DataFrame, column: str, target: str, prior_weight: float = 1.0) -> DataFrame:
+    """(column, week, <column>_encoded): mean of the category's earlier targets, blended with that of all rows.
 
     A row at week W may use targets that were complete by W, i.e. rows of weeks up to W - 14 days. Both running means
     run over one row per (category, week) and per week, not over the rows of a category.
     """
     value = F.col(target)
-    cells = df.groupBy(F.col(column).alias("_c"), "week").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    known = lambda w: w.orderBy(F.datediff("week", F.lit("1970-01-01").cast("date"))).rangeBetween(
-        Window.unboundedPreceding, -LABEL_DELAY_DAYS)
-    own = known(Window.partitionBy("_c"))
-    per_category = cells.select("_c", "week", F.coalesce(F.sum("_s").over(own), F.lit(0.0)).alias("_cs"),
+    cells = df.groupBy(column, "week").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+
+    def known(w):
+        return w.orderBy(F.datediff("week", F.lit("1970-01-01").cast("date"))).rangeBetween(
+            Window.unboundedPreceding, -LABEL_DELAY_DAYS)
+
+    own, everything = known(Window.partitionBy(column)), known(Window.partitionBy())
+    per_category = cells.select(column, "week", F.coalesce(F.sum("_s").over(own), F.lit(0.0)).alias("_cs"),
                                 F.coalesce(F.sum("_n").over(own), F.lit(0)).alias("_cn"))
     weeks = cells.groupBy("week").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    all_rows = known(Window.partitionBy())
-    overall = weeks.select("week", ratio(F.sum("_s").over(all_rows), F.sum("_n").over(all_rows)).alias("_prior"))
+    overall = weeks.select("week", ratio(F.sum("_s").over(everything), F.sum("_n").over(everything)).alias("_prior"))
     blended = (F.col("_cs") + prior_weight * F.col("_prior")) / (F.col("_cn") + prior_weight)
-    lookup = per_category.join(F.broadcast(overall), "week").select("_c", "week", blended.alias(f"{column}_encoded"))
-    return df.withColumn("_c", F.col(column)).join(lookup, ["_c", "week"], "left").drop("_c")
+    return per_category.join(F.broadcast(overall), "week").select(column, "week", blended.alias(f"{column}_encoded"))
+
+
+def ordered_target_encoding(df: DataFrame, column: str, target: str, prior_weight: float = 1.0) -> DataFrame:
+    return df.join(ordered_target_means(df, column, target, prior_weight), [column, "week"], "left")
 
 
 def lookup_embeddings(df: DataFrame, vectors: DataFrame, entity: str, dim: int) -> DataFrame:

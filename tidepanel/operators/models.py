@@ -135,9 +135,10 @@ class FittedModel:
             out = encode.apply_codes(out, self.codes, self.coded)
         for c in self.averaged:
             if training and self.spec.encoding == "target" and "week" in df.columns:
-                # Training rows only see targets that were complete before them.
-                out = encode.ordered_target_encoding(out, c, self.label, MEAN_PRIOR_ROWS).withColumnRenamed(
-                    f"{c}_encoded", f"{c}_mean")
+                # Training rows only see targets that were complete before them. The lookup is built from the given
+                # rows, not from the joins so far, or every column would replay all columns before it.
+                earlier = encode.ordered_target_means(df, c, self.label, MEAN_PRIOR_ROWS)
+                out = out.join(earlier.withColumnRenamed(f"{c}_encoded", f"{c}_mean"), [c, "week"], "left")
             else:
                 out = out.join(self.means[c], c, "left")
             out = out.withColumn(f"{c}_mean", F.coalesce(f"{c}_mean", F.lit(float(self.prior))))
