@@ -35,7 +35,8 @@ def group_panel(df: DataFrame, strict: bool = True) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    labelled = df.withColumn("group_label", F.concat_ws("|", *SERIES))
+    # Read by the three id tables and the panel itself.
+    labelled = cut_lineage(df.withColumn("group_label", F.concat_ws("|", *SERIES)))
     groups = dense_ids(labelled.select("group_label").distinct(), ["group_label"], "group_id")
     items = dense_ids(labelled.select("sku").distinct(), ["sku"], "cluster_id")
     periods = dense_ids(labelled.select("week").distinct(), ["week"], "time_id", start=0)

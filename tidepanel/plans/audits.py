@@ -8,6 +8,7 @@ from tidepanel.operators import audit, features, quantiles, rollup, validate
 from tidepanel.plans.oracle_base import cte
 from tidepanel.plans.registry import query
 from tidepanel.schema import DAY_KEYS, SERIES, WEEK_KEYS
+from tidepanel.session import cut_lineage
 from tidepanel.sources import tables
 
 CHECK_SPEC = "check_:s passed:b n_failures:i detail:s"
@@ -79,7 +80,7 @@ def check_target_leakage(spark, sf):
 
 @query("check_lag_rolling_leakage", "SELECT * FROM lag_check", CHECK_SPEC)
 def check_lag_rolling_leakage(spark, sf):
-    daily = tables.sales_daily(spark, sf)
+    daily = cut_lineage(tables.sales_daily(spark, sf))
     return _report(validate.check_lags(daily, rollup.labelled_weeks(daily)))
 
 
@@ -100,8 +101,8 @@ SELECT c AS check_, n = 0 AS passed, n AS n_failures, n || ' row(s)' AS detail F
 UNION ALL SELECT * FROM rollup_check UNION ALL SELECT * FROM target_check UNION ALL SELECT * FROM lag_check
 """, CHECK_SPEC)
 def run_all_checks(spark, sf):
-    daily = tables.sales_daily(spark, sf)
-    return _report(validate.run_all_checks(daily, rollup.weekly_base(daily)))
+    daily = cut_lineage(tables.sales_daily(spark, sf))
+    return _report(validate.run_all_checks(daily, cut_lineage(rollup.weekly_base(daily))))
 
 
 @query("panel_completeness", """
@@ -196,7 +197,7 @@ UNION ALL SELECT 'promotion_by_summer', CAST(is_summer AS VARCHAR), avg(promotio
 UNION ALL SELECT 'naive_uplift', 'all', avg(units_sold) FILTER (promotion_flag = 1) / avg(units_sold) FILTER (promotion_flag = 0) - 1
   FROM base""", "profile:s level:s value:f")
 def promo_confounding_profile(spark, sf):
-    return audit.promo_profile(rollup.weekly_base(tables.sales_daily(spark, sf)))
+    return audit.promo_profile(cut_lineage(rollup.weekly_base(tables.sales_daily(spark, sf))))
 
 
 @query("eda_profile", "\nUNION ALL\n".join(f"""
@@ -339,11 +340,16 @@ UNION ALL SELECT 'weekly units per series', hw, bw, NULL, bw <= hw FROM w)"""
 AUDIT_SPEC = "check_:s history_value:f batch_value:f statistic:f consistent:b"
 
 
+def _arrivals(spark, sf, copies=1):
+    """History and batches as the audit would find them: written tables."""
+    return cut_lineage(tables.history_rows(spark, sf)), cut_lineage(tables.batch_rows(spark, sf, copies))
+
+
 @query("contract_audit", _contract("batch_rows"), AUDIT_SPEC)
 def contract_audit(spark, sf):
-    return _report(audit.contract_audit(tables.history_rows(spark, sf), tables.batch_rows(spark, sf)))
+    return _report(audit.contract_audit(*_arrivals(spark, sf)))
 
 
 @query("contract_audit_broken", _contract("broken_rows"), AUDIT_SPEC)
 def contract_audit_broken(spark, sf):
-    return _report(audit.contract_audit(tables.history_rows(spark, sf), tables.batch_rows(spark, sf, copies=3)))
+    return _report(audit.contract_audit(*_arrivals(spark, sf, copies=3)))

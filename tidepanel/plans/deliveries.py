@@ -84,7 +84,8 @@ FROM features f LEFT JOIN frozen z USING (category, region) WHERE f.week NOT IN
 
 @query("batch_panel", "SELECT * FROM new_panel", FEATURE_SPEC + " label_week:d")
 def batch_panel(spark, sf):
-    return arrivals.batch_panel(tables.history_rows(spark, sf), tables.batch_rows(spark, sf), _stored(spark, sf))
+    history = cut_lineage(tables.history_rows(spark, sf))
+    return arrivals.batch_panel(history, tables.batch_rows(spark, sf), features.feature_table(tables.to_daily(history)))
 
 
 cte("arrival_files", """
@@ -119,8 +120,9 @@ SELECT a.i AS batches_available, a.batch_file AS last_file, a.through AS data_th
 FROM arrival_files a LEFT JOIN arrival_rows r ON a.i = r.i GROUP BY a.i, a.batch_file, a.through""",
        "batches_available:i last_file:s data_through:d scorable_origins:i n_rows:i feature_mismatches:i")
 def arrival_replay(spark, sf):
-    return arrivals.arrival_replay(tables.history_rows(spark, sf), tables.batch_rows(spark, sf), _stored(spark, sf),
-                                   OWN_COLUMNS)
+    history = cut_lineage(tables.history_rows(spark, sf))
+    stored = features.feature_table(tables.to_daily(history))
+    return arrivals.arrival_replay(history, tables.batch_rows(spark, sf), stored, OWN_COLUMNS)
 
 
 _PRINTED = {"lineitem": ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"],

@@ -8,6 +8,7 @@ from tidepanel.operators import features, ledger, rollup, splits
 from tidepanel.plans.oracle_base import cte
 from tidepanel.plans.registry import query
 from tidepanel.schema import LABEL, SERIES, WEEK_KEYS
+from tidepanel.session import cut_lineage
 from tidepanel.sources import tables
 
 SPLIT = {"initial_train_end": "1999-12-31", "val_fold_weeks": 13, "final_test_weeks": 10}
@@ -61,7 +62,8 @@ POOLED_SPEC = f"model_id:s n_scored:i coverage:f {METRIC_SPEC} bias:f"
 
 
 def base_table(spark, sf):
-    return rollup.labelled_weeks(tables.sales_daily(spark, sf))
+    """Trimmed weekly panel, materialised: the fold calendar and the rows both read it."""
+    return cut_lineage(rollup.labelled_weeks(tables.sales_daily(spark, sf)))
 
 
 def calendar(base):
@@ -74,8 +76,8 @@ def cv_ledger(spark, sf):
 
 
 def holdout_ledger(spark, sf):
-    daily = tables.sales_daily(spark, sf)
-    base = rollup.labelled_weeks(daily)
+    daily = cut_lineage(tables.sales_daily(spark, sf))
+    base = cut_lineage(rollup.labelled_weeks(daily))
     labelled = features.attach_static_attrs(base, daily)
     last = daily.agg(F.max("date")).scalar()
     return ledger.holdout_baseline_ledger(labelled, calendar(base), last, ["category"])
@@ -83,7 +85,7 @@ def holdout_ledger(spark, sf):
 
 @query("sorted_weeks", "SELECT week, week_idx FROM cal", "week:d week_idx:i")
 def sorted_weeks(spark, sf):
-    return splits.sorted_weeks(base_table(spark, sf))
+    return splits.sorted_weeks(rollup.labelled_weeks(tables.sales_daily(spark, sf)))
 
 
 @query("walk_forward_folds", """
@@ -165,7 +167,7 @@ for _name, _col in (("naive", "pred_naive"), ("seasonal_naive", "pred_seasonal_n
 @query("baseline_predictions", f"SELECT * FROM ({_baselines('base')})",
        KEY_SPEC + " units_sold:f pred_naive:f pred_seasonal_naive:f pred_moving_avg_4:f")
 def baseline_predictions(spark, sf):
-    return ledger.add_baseline_predictions(base_table(spark, sf).select(*WEEK_KEYS, "units_sold"))
+    return ledger.add_baseline_predictions(rollup.labelled_weeks(tables.sales_daily(spark, sf)).select(*WEEK_KEYS, "units_sold"))
 
 
 @query("build_ledger", "SELECT * FROM hold_ledger",
@@ -192,8 +194,8 @@ SELECT week, label_week, date_diff('day', label_week, least(label_week + 6, hi))
 FROM (SELECT week, label_week, label_complete, sum(target_next_week) AS total_target FROM hold_preds WHERE is_holdout GROUP BY ALL),
      (SELECT max(date) AS hi FROM daily)""", "week:d label_week:d days_observed:i label_complete:b total_target:f")
 def label_audit(spark, sf):
-    daily = tables.sales_daily(spark, sf)
-    base = rollup.labelled_weeks(daily)
+    daily = cut_lineage(tables.sales_daily(spark, sf))
+    base = cut_lineage(rollup.labelled_weeks(daily))
     last = daily.agg(F.max("date")).scalar()
     holdout = splits.attach_folds(base, calendar(base)).filter("is_holdout")
     return holdout.groupBy("week").agg(F.sum(LABEL).alias("total_target")).select(
@@ -228,9 +230,9 @@ SELECT model_id, n AS n_both, (SELECT count(*) FROM cv_rows WHERE fold_id > 0) -
 FROM (SELECT model_id, count(*) AS n FROM cv_ledger WHERE prediction IS NOT NULL GROUP BY model_id)""",
        "model_id:s n_both:i n_gold_only:i n_pred_only:i")
 def key_parity_join(spark, sf):
-    long = cv_ledger(spark, sf)
-    models = F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model_id")
     base = base_table(spark, sf)
+    long = ledger.cv_baseline_ledger(base, calendar(base))
+    models = F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model_id")
     gold = splits.attach_folds(base, calendar(base)).filter(~F.col("is_holdout") & (F.col("fold_id") > 0))
     return ledger.key_parity(gold.select(models, *WEEK_KEYS), ledger.finite_only(long), WEEK_KEYS, ["model_id"])
 
@@ -352,7 +354,7 @@ SELECT c AS check_, n = 0 AS passed, n AS n_failures, n || ' row(s)' AS detail F
 def ledger_validation(spark, sf):
     base = base_table(spark, sf)
     cal = calendar(base)
-    return ledger.validate_ledger(ledger.cv_baseline_ledger(base, cal), cal, MODELS).withColumnRenamed("check", "check_")
+    return ledger.validate_ledger(cut_lineage(ledger.cv_baseline_ledger(base, cal)), cal, MODELS).withColumnRenamed("check", "check_")
 
 
 @query("set_equality_checks", """
@@ -362,7 +364,7 @@ FROM cv_ledger""", "what:s n_expected:i n_found:i n_different:i")
 def set_equality_checks(spark, sf):
     base = base_table(spark, sf)
     cal = calendar(base)
-    long = ledger.cv_baseline_ledger(base, cal)
+    long = cut_lineage(ledger.cv_baseline_ledger(base, cal))
     models = spark.createDataFrame([(m,) for m in MODELS], "v string")
     expected = {"models": models, "folds": splits.walk_forward_folds(cal).select(F.col("fold_id").alias("v")).distinct()}
     found = {"models": long.select(F.col("model_id").alias("v")).distinct(),
@@ -404,5 +406,5 @@ def extrapolation_audit(spark, sf):
 @query("top_series", "SELECT sku, channel, region, sum(units_sold) AS units FROM base GROUP BY ALL ORDER BY units DESC, sku, channel, region LIMIT 5",
        "sku:s channel:s region:s units:f")
 def top_series(spark, sf):
-    return base_table(spark, sf).groupBy(*SERIES).agg(F.sum("units_sold").alias("units")).orderBy(
+    return rollup.labelled_weeks(tables.sales_daily(spark, sf)).groupBy(*SERIES).agg(F.sum("units_sold").alias("units")).orderBy(
         F.desc("units"), *SERIES).limit(5)
