@@ -5,7 +5,7 @@ import uuid
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from tidepanel.schema import DAILY_SCHEMA  # noqa: E402
 from tidepanel.session import build_session  # noqa: E402

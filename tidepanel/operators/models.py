@@ -256,8 +256,9 @@ def _smooth(y: np.ndarray, a: float, b: float, g: float, steps: int) -> tuple[fl
     s = np.zeros(m)
     level, trend, start = y[0], 0.0, 1
     if seasonal:
-        level, trend = y[:m].mean(), (y[m:2 * m].mean() - y[:m].mean()) / m
-        s, start = y[:m] - level, m
+        middle, trend = y[:m].mean(), (y[m:2 * m].mean() - y[:m].mean()) / m
+        line = middle + trend * (np.arange(m) - (m - 1) / 2)
+        s, level, start = y[:m] - line, line[-1], m
     sse = 0.0
     for t in range(start, len(y)):
         i = t % m
