@@ -77,11 +77,12 @@ class _Unit:
         self.starts, self.row = self.starts[left], self.row[left]
 
     def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hash columns of each window left: its representative and zero, or at full length two independent hashes."""
+        """Two hash columns of each window left: its representative and zero, or at full length 96 bits of two independent hashes."""
         if size < self.window:
             found = self.representatives(size)
-            return found, np.zeros(len(found), np.uint64)
-        return tuple(words.rolling(lane, size)[self.starts] for lane in self.lanes)
+            return found, np.zeros(len(found), np.uint32)
+        a, b = (words.rolling(lane, size)[self.starts] for lane in self.lanes)
+        return a, (b >> np.uint64(32)).astype(np.uint32)
 
 
 def _group(a: np.ndarray, b: np.ndarray, least: np.ndarray, greatest: np.ndarray):
@@ -104,8 +105,9 @@ def _pack(x: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
 
 
-def _unpack(blobs: list[bytes], counts: np.ndarray, dtype=np.int64) -> np.ndarray:
-    return np.concatenate([np.frombuffer(pa.decompress(x, 8 * int(n), codec="zstd", asbytes=True), dtype) if n else np.empty(0, dtype) for x, n in zip(blobs, counts, strict=True)])
+def _unpack(blobs: list[bytes], counts: np.ndarray) -> np.ndarray:
+    parts = [np.frombuffer(pa.decompress(x, 8 * int(n), codec="zstd", asbytes=True), np.int64) for x, n in zip(blobs, counts, strict=True) if n]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def _send(unit: _Unit, number: int, size: int, buckets: int) -> pa.Table:
@@ -140,7 +142,7 @@ def _answer(sent: pa.Table, last: bool) -> pa.Table:
     blobs = {n: sent[n].to_pylist() for n in ("a", "b", "least", "greatest")}
     counts = np.array([len(x) // 8 for x in blobs["a"]], np.int64)
     a = np.frombuffer(b"".join(blobs["a"]), np.uint64)
-    b = np.frombuffer(b"".join(blobs["b"]), np.uint64) if last else np.zeros(len(a), np.uint64)
+    b = np.frombuffer(b"".join(blobs["b"]), np.uint32) if last else np.zeros(len(a), np.uint32)
     least = _unpack(blobs["least"], counts)
     greatest = least + _unpack(blobs["greatest"], counts)
     order, begin, low, high = _group(a, b, least, greatest)
@@ -157,7 +159,7 @@ def _answer(sent: pa.Table, last: bool) -> pa.Table:
         out["unit"].append(int(unit[k]))
         out["a"].append(a[order[part]].tobytes())
         out["b"].append(b[order[part]].tobytes() if last else b"")
-        out["least"].append(low[part].tobytes() if last else b"")
+        out["least"].append(_pack(low[part]) if last else b"")
     return pa.table({n: pa.array(v, pa.int32() if n == "unit" else pa.binary()) for n, v in out.items()})
 
 
@@ -167,7 +169,8 @@ def _joined(answers: pa.Table, name: str, dtype=np.uint64) -> np.ndarray:
 
 def _removed(unit: _Unit, answers: pa.Table) -> np.ndarray:
     """Marks of the unit's words that lie in a window which a document before also has."""
-    a, b, least = _joined(answers, "a"), _joined(answers, "b"), _joined(answers, "least", np.int64)
+    a, b = _joined(answers, "a"), _joined(answers, "b", np.uint32)
+    least = _unpack(answers["least"].to_pylist(), np.array([len(x) // 8 for x in answers["a"].to_pylist()], np.int64))
     wa, wb = unit.keys(unit.window)
     # Answers and windows are ranked together, so that equality of both hashes is looked up at once.
     order, begin, _, _ = _group(np.r_[a, wa], np.r_[b, wb], np.zeros(len(a) + len(wa), np.int64), np.zeros(len(a) + len(wa), np.int64))
