@@ -3,12 +3,15 @@
 A document's set holds its distinct shingles. Equal sets are one class. An inverted index is built over prefixes: of each
 class the shingles that come first in one order of all shingles (frequent ones last, then by hash), as many as any similar set
 must share one of. A list is cut into blocks of similar size and ordered by position; entries too far back in their own set
-to reach the threshold with any size of the block are skipped. Each block names a leader.
-
-Answers are computed against leaders first. Sets already in the leader's component need no more. The others are compared
-with the leader's whole group from the leader's answers alone: with Ax = x - p and Dx = p - x of two sets x, y and leader p,
-|x & y| = |p| - |Dx| - |Dy| + |Dx & Dy| + |Ax & Ay|, so only the differences travel, in tiles of bounded size. Every pair
-that shares a prefix shingle is in one component, answered, or in one tile, hence no link between different sets is lost.
+to reach the threshold with any size of the block are skipped. Prefixes are a little longer than needed to share one shingle,
+so that linked sets share ``enough(n)`` of them. A narrow block gives its pairs, at most ``NARROW`` each; a wide block
+names a leader and gives each member with it. Pairs that met in narrow blocks alone and too seldom cannot be linked.
+
+Each set is first compared with the one that it met most often; sets that are in one component by then need no more. Other
+pairs are compared one by one. Members of a wide block are compared with its whole group from the leader's answers alone:
+with Ax = x - p and Dx = p - x of two sets x, y and leader p, |x & y| = |p| - |Dx| - |Dy| + |Dx & Dy| + |Ax & Ay|, so only
+the differences travel, in tiles of bounded size. Every pair that shares enough prefix shingles is in one component,
+compared, or in one tile, hence no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ FREQUENT = 64
 FREQUENT_BITS = 1 << 24
 #: Prefix entries that meet in one task of the index, about.
 PARTITION_ENTRIES = 600_000
+#: Blocks of at most so many sets give their pairs.
+NARROW = 8
 TILE, TILE_ASKING = 512, 128
 _CLASSES = words.byte_classes(words.SPACED, lower=True)
 
@@ -69,6 +74,11 @@ def least_overlap(n_a, n_b, percent: int = PERCENT):
     return -(-percent * (n_a + n_b) // (100 + percent))
 
 
+def enough(n):
+    """Shingles that the prefixes of two linked sets share at least, by the smaller size."""
+    return 1 + n // 20
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -126,7 +136,7 @@ def _entries(docs: DataFrame, frequent, percent: int) -> DataFrame:
                 order = np.argsort(row * 2 + late, kind="stable")
                 row, values = row[order], values[order]
                 position = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-                keep = (position <= n[row] - -(-percent * n[row] // 100)) & fresh[row]
+                keep = (position < n[row] - -(-percent * n[row] // 100) + enough(n[row])) & fresh[row]
                 row, values, position = row[keep], values[keep], position[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(_signed(signature[row])), pa.array(ids[s.low + row], pa.int64()),
                                                   pa.array(n[row].astype(np.int32)), pa.array(position.astype(np.int32))], names=["token", "sig", "doc_id", "n", "pos"])
@@ -141,8 +151,8 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leader, member and number of shared blocks, from the prefix entries of whole lists."""
+def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """From the prefix entries of whole lists: leader, member, blocks they share, smaller size, whether a block was wide."""
     order = np.lexsort((doc, sig, token))
     token, sig, doc, n, pos = (x[order] for x in (token, sig, doc, n, pos))
     once = _first_of(token, sig)
@@ -153,43 +163,57 @@ def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.nd
     # Linked sizes differ by a factor of 100/percent at most; classes are a little wider, so they are in one block of two classes.
     kind = np.floor(np.log(n) / np.log(100 / percent * 1.005)).astype(np.int64)
     token, sig, doc, n, pos = (np.r_[x, x] for x in (token, sig, doc, n, pos))
+    lower = np.r_[np.ones(len(kind), bool), np.zeros(len(kind), bool)]
     kind = np.r_[kind, kind - 1]
     for _ in range(2):  # skip by position, then by what is left
         if not len(token):
             break
         order = np.lexsort((doc, kind, token))
-        token, sig, doc, n, pos, kind = (x[order] for x in (token, sig, doc, n, pos, kind))
+        token, sig, doc, n, pos, kind, lower = (x[order] for x in (token, sig, doc, n, pos, kind, lower))
         starts = np.flatnonzero(_first_of(token, kind))
         sizes = np.diff(np.r_[starts, len(token)])
         smallest = np.repeat(np.minimum.reduceat(n, starts), sizes)
         partner = np.maximum(smallest, -(-percent * n // 100))
-        keep = (n - pos >= least_overlap(n, partner, percent)) & (np.repeat(sizes, sizes) > 1)
-        token, sig, doc, n, pos, kind = (x[keep] for x in (token, sig, doc, n, pos, kind))
+        keep = (n - pos + enough(n) > least_overlap(n, partner, percent)) & np.repeat((sizes > 1) & np.logical_or.reduceat(lower, starts), sizes)
+        token, sig, doc, n, pos, kind, lower = (x[keep] for x in (token, sig, doc, n, pos, kind, lower))
+    none = np.empty(0, np.int64)
     if not len(token):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return none, none, none, none, np.empty(0, bool)
     starts = np.flatnonzero(_first_of(token, kind))
     sizes = np.diff(np.r_[starts, len(token)])
-    leader = np.repeat(sig[starts], sizes)
-    pair = leader != sig
-    leader, member = leader[pair], sig[pair]
-    order = np.lexsort((member, leader))
-    leader, member = leader[order], member[order]
-    starts = np.flatnonzero(_first_of(leader, member)) if len(leader) else np.empty(0, np.int64)
-    return leader[starts], member[starts], np.diff(np.r_[starts, len(leader)])
+    block, wide = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes > NARROW, sizes)
+    firsts, seconds = [np.repeat(starts, sizes)[wide]], [np.flatnonzero(wide)]
+    narrow = np.flatnonzero(~wide)
+    for apart in range(1, NARROW):  # pairs of one class are counted in that class's own block only
+        x, y = narrow[:-apart], narrow[apart:]
+        pair = (block[x] == block[y]) & (lower[x] | lower[y])
+        firsts.append(x[pair])
+        seconds.append(y[pair])
+    first, second = np.concatenate(firsts), np.concatenate(seconds)
+    differ = sig[first] != sig[second]
+    first, second = first[differ], second[differ]
+    order = np.lexsort((sig[second], sig[first]))
+    first, second = first[order], second[order]
+    starts = np.flatnonzero(_first_of(sig[first], sig[second])) if len(first) else none
+    if not len(starts):
+        return none, none, none, none, np.empty(0, bool)
+    at, to = first[starts], second[starts]
+    return sig[at], sig[to], np.diff(np.r_[starts, len(first)]), np.minimum(n[at], n[to]), np.logical_or.reduceat(wide[first], starts)
 
 
 def _groups(entries: DataFrame, partitions: int, percent: int) -> DataFrame:
-    """``leader``, ``member``, ``shared``: each set with each leader of a block that it is in."""
+    """``leader``, ``member``, ``shared``, ``wide``: the pairs of sets that can be linked or share a wide block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches]
         if parts:
             token, sig, doc, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in index_blocks(token, sig, doc, n.astype(np.int64), pos.astype(np.int64), percent)],
-                                             names=["leader", "member", "shared"])
+                                             names=["leader", "member", "shared", "least", "wide"])
 
-    found = entries.repartition(partitions, "token").mapInArrow(run, "leader long, member long, shared long")
-    return found.groupBy("leader", "member").agg(F.sum("shared").alias("shared"))
+    found = entries.repartition(partitions, "token").mapInArrow(run, "leader long, member long, shared long, least long, wide boolean")
+    found = found.groupBy("leader", "member").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"), F.bool_or("wide").alias("wide"))
+    return found.where(F.col("wide") | (F.col("shared") >= 1 + F.floor(F.col("least") / 20))).select("leader", "member", "shared", "wide")
 
 
 def _set_of(blob) -> np.ndarray:
@@ -270,9 +294,7 @@ def tile_links(table: pa.Table, percent: int = PERCENT) -> tuple[list[int], list
 
 def _tiles(answers: DataFrame, percent: int) -> DataFrame:
     """Links between members of one group that are in different components, from their answers against the leader."""
-    asks = F.col("component") != F.col("leader_component")
-    sizes = answers.groupBy("leader").agg(F.count("*").alias("members"), F.count(F.when(asks, 1)).alias("asking")).where("asking > 0 and members > 1")
-    wide = answers.join(sizes, "leader")
+    asks, wide = F.col("component") != F.col("leader_component"), answers
     tiles, askers = F.ceil(F.col("members") / TILE).cast("int"), F.ceil(F.col("asking") / TILE_ASKING).cast("int")
     part = F.pmod(F.xxhash64("node"), tiles).cast("int")
     asked_by = F.pmod(F.xxhash64(F.lit(1), "node"), askers).cast("int")
@@ -316,17 +338,24 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     links = frames.materialise(first.where(linked(F.col("overlap"), F.col("n"), F.col("n_leader"), percent)).select(F.col("node").alias("a"), F.col("leader_node").alias("b")))
     known = frames.materialise(components.components(links))
 
-    # Groups with more than one component: the whole group's answers against the leader, then tiles.
+    # Pairs across components one by one; of wide groups with several components all members, in tiles.
     label = F.coalesce("component", "node")
     nodes = sets.select("sig", "node").join(known, "node", "left").select("sig", "node", label.alias("component"))
-    members = (groups.select("leader", F.col("member").alias("sig")).join(nodes, "sig").join(nodes.select(F.col("sig").alias("leader"), F.col("component").alias("leader_component")), "leader"))
-    mixed = members.where("component != leader_component").select("leader").distinct()
-    asked = frames.materialise(members.join(mixed, "leader"))
-    answers = frames.materialise(_differences(asked.join(sets.select("sig", "items"), "sig").join(lead, "leader"),
-                                              ["leader", "leader_node", "node", "component", "leader_component"]))
-    found = linked(F.col("overlap"), F.col("n"), F.col("n_leader"), percent) & (F.col("component") != F.col("leader_component"))
-    direct = answers.where(found).select(F.col("node").alias("a"), F.col("leader_node").alias("b"))
-    across = frames.materialise(direct.unionByName(_tiles(answers, percent)))
+    pairs = frames.materialise(groups.withColumnRenamed("member", "sig").join(nodes, "sig").join(
+        nodes.select(F.col("sig").alias("leader"), F.col("node").alias("leader_node"), F.col("component").alias("leader_component")), "leader"))
+    apart = F.col("component") != F.col("leader_component")
+    mixed = pairs.where(F.col("wide")).groupBy("leader").agg(F.count("*").alias("members"), F.count(F.when(apart, 1)).alias("asking")).where("asking > 0 and members > 1")
+    single = pairs.join(mixed, "leader", "left").where(apart & (~F.col("wide") | F.col("members").isNull()))
+    group = pairs.where("wide").join(mixed, "leader")
+
+    def answered(some: DataFrame, keep: list[str]) -> DataFrame:
+        return _differences(some.select("leader", "sig", *keep).join(sets.select("sig", "items"), "sig").join(lead.drop("leader_node"), "leader"), keep + ["leader"])
+
+    found = linked(F.col("overlap"), F.col("n"), F.col("n_leader"), percent)
+    ends = [F.col("node").alias("a"), F.col("leader_node").alias("b")]
+    answers = frames.materialise(answered(group, ["leader_node", "node", "component", "leader_component", "members", "asking"]))
+    across = answered(single, ["node", "leader_node"]).where(found).select(*ends)
+    across = frames.materialise(across.unionByName(answers.where(found & apart).select(*ends)).unionByName(_tiles(answers, percent)))
     merged = _relabelled(known, across)
     return (rows.join(classes, "sig", "left").join(merged, F.col("rep") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
