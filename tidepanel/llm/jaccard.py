@@ -28,13 +28,14 @@ from tidepanel.llm import components, frames, words
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles of at least so many documents count as frequent. Only the order of prefixes depends on it, not the result.
-FREQUENT = 64
-#: Bits of the table of frequent shingles that is broadcast; a bit shared by chance makes one more shingle frequent.
-FREQUENT_BITS = 1 << 24
+FREQUENT = 32
+#: Bits of the tables that are broadcast, of frequent shingles and of sets in any pair. A bit shared by chance makes one more
+#: shingle frequent, or sends one more set to the join that looks for it.
+TABLE_BITS = 1 << 24
 #: Prefix entries that meet in one task of the index, about.
 PARTITION_ENTRIES = 600_000
 #: Blocks of at most so many sets give their pairs.
-NARROW = 8
+NARROW = 16
 TILE, TILE_ASKING = 512, 128
 _CLASSES = words.byte_classes(words.SPACED, lower=True)
 
@@ -106,17 +107,21 @@ def _profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n long, is_doc boolean")
 
 
-def _frequent_table(profile: DataFrame) -> np.ndarray:
-    """Bits of the frequent shingles; of fixed size whatever the input."""
-    slot = F.pmod("key", F.lit(FREQUENT_BITS))
-    counted = profile.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    bits = counted.groupBy((slot / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FREQUENT_BITS}) % 32 as int))")).alias("bits"))
-    table = np.zeros(FREQUENT_BITS // 32, np.uint32)
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit per value of ``key`` modulo the table's size, which is fixed whatever the input."""
+    slot = F.pmod("key", F.lit(TABLE_BITS))
+    bits = keys.groupBy((slot / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {TABLE_BITS}) % 32 as int))")).alias("bits"))
+    table = np.zeros(TABLE_BITS // 32, np.uint32)
     for word, value in bits.toLocalIterator():
         table[word] = value
     return table
 
 
+def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys % np.uint64(TABLE_BITS)).astype(np.int64)
+    return (table[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def _entries(docs: DataFrame, frequent, percent: int) -> DataFrame:
     """Prefix entries ``token``, ``sig``, ``doc_id``, ``n``, ``pos`` of every set; equal sets of a task give one."""
 
@@ -131,8 +136,7 @@ def _entries(docs: DataFrame, frequent, percent: int) -> DataFrame:
                     if (key := int(signature[r])) not in seen:
                         seen.add(key)
                         fresh[r] = True
-                slot = (values % np.uint64(FREQUENT_BITS)).astype(np.int64)
-                late = (frequent.value[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(np.int64)
+                late = _marked(frequent.value, values).astype(np.int64)
                 order = np.argsort(row * 2 + late, kind="stable")
                 row, values = row[order], values[order]
                 position = np.arange(len(row)) - (np.cumsum(n) - n)[row]
@@ -221,21 +225,22 @@ def _set_of(blob) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """The ascending shingle hashes of the sets in ``live`` (``doc_id``, ``sig`` and more), as bytes."""
-    keep = [c for c in live.columns if c != "doc_id"]
+    """The ascending shingle hashes of the sets in ``live`` (``doc_id``, ``sig`` and more), as bytes.
 
-    def work(batch: pa.RecordBatch) -> dict[str, object]:
-        sets, good = [], []
-        sig = batch.column(batch.schema.get_field_index("sig")).to_numpy()
-        for s in words.slices(batch.column(batch.schema.get_field_index("text")), _CLASSES):
-            _, values, n, signature = shingle_sets(s)
-            cuts = np.r_[0, np.cumsum(n)].tolist()
-            raw = values.tobytes()
-            sets += [raw[8 * a:8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            good.append(_signed(signature) == sig[s.low:s.high])
-        return {"items": sets, "good": np.concatenate(good) if good else np.empty(0, bool)}
+    Tasks compute them where the texts lie and send those that a fixed-size table of signatures lets through.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits(live.select(F.col("sig").alias("key"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in words.slices(batch.column(1), _CLASSES):
+                _, values, n, signature = shingle_sets(s)
+                rows = np.flatnonzero((n > 0) & _marked(wanted.value, signature))
+                cuts, raw = 8 * np.r_[0, np.cumsum(n)], values.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(s.low + rows)), pa.array(_signed(signature[rows])),
+                                                  pa.array([raw[cuts[r]:cuts[r + 1]] for r in rows.tolist()], pa.binary())], names=["doc_id", "sig", "items"])
 
-    return frames.map_rows(docs.join(live, "doc_id"), keep, "items binary, good boolean", work).where("good").drop("good")
+    return docs.mapInArrow(run, "doc_id long, sig long, items binary").join(live, ["doc_id", "sig"]).drop("doc_id")
 
 
 def _differences(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -273,9 +278,8 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tile_links(table: pa.Table, percent: int = PERCENT) -> tuple[list[int], list[int]]:
-    """Links between the asking rows of a tile and its other rows, one per asking row and component."""
-    asks = table["asks"].to_numpy()
-    ask, rest = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+    """Links between the asking rows of a tile and those that answer, one per asking row and component."""
+    ask, rest = table.filter(table["asks"]), table.filter(table["answers"])
     (of_added, added), (of_dropped, dropped) = _flat(rest["added"]), _flat(rest["dropped"])
     n, gone = rest["n"].to_numpy().astype(np.int64), np.array([len(x.as_buffer()) // 8 for x in rest["dropped"]], np.int64)
     component, nodes = rest["component"].to_numpy(), rest["node"].to_numpy()
@@ -299,8 +303,9 @@ def _tiles(answers: DataFrame, percent: int) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), tiles).cast("int")
     asked_by = F.pmod(F.xxhash64(F.lit(1), "node"), askers).cast("int")
     shared = ["leader", "node", "component", "n", "n_leader", "added", "dropped"]
-    rest = wide.select(*shared, F.lit(False).alias("asks"), part.alias("tile"), F.explode(F.sequence(F.lit(0), askers - 1)).alias("asker"))
-    ask = wide.where(asks).select(*shared, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), asked_by.alias("asker"))
+    one = (F.col("members") <= TILE) & (F.col("asking") <= TILE_ASKING)  # such a group is one tile and its rows ask from where they are
+    rest = wide.select(*shared, (asks & one).alias("asks"), F.lit(True).alias("answers"), part.alias("tile"), F.explode(F.sequence(F.lit(0), askers - 1)).alias("asker"))
+    ask = wide.where(asks & ~one).select(*shared, F.lit(True).alias("asks"), F.lit(False).alias("answers"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), asked_by.alias("asker"))
 
     def work(table):
         a, b = tile_links(table, percent)
@@ -322,7 +327,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     rows = profile.where("is_doc").select("doc_id", F.col("key").alias("sig"), "n")
     entries_expected = (rows.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries_expected // PARTITION_ENTRIES) + 1)
-    frequent = spark.sparkContext.broadcast(_frequent_table(profile))
+    often = profile.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = spark.sparkContext.broadcast(_bits(often))
     some = docs.where("doc_id is not null and text is not null")
     groups = frames.materialise(_groups(_entries(some, frequent, percent), partitions, percent))
 
@@ -331,7 +337,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     leaders = groups.select(F.col("leader").alias("sig")).distinct().withColumn("leads", F.lit(True))
     live = (best.select("sig", F.col("best.leader").alias("leader")).join(leaders, "sig", "full")
             .join(classes, "sig").select(F.col("rep").alias("doc_id"), "sig", F.col("rep").alias("node"), "leader", F.coalesce("leads", F.lit(False)).alias("leads")))
-    sets = frames.materialise(_sets(docs, live))
+    live = frames.materialise(live)
+    sets = frames.materialise(_sets(some, live))
     lead = sets.where("leads").select(F.col("sig").alias("leader"), F.col("node").alias("leader_node"), F.col("items").alias("leader_items"))
 
     first = _differences(sets.join(lead, "leader"), ["node", "leader_node"])
