@@ -156,7 +156,10 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
-    """From the prefix entries of whole lists: leader, member, blocks they share, smaller size, whether a block was wide."""
+    """From the prefix entries of whole lists: leader, member, blocks they share, smaller size, whether a block was wide.
+
+    A set paired with itself tells the number of its shingles that are in any block.
+    """
     order = np.lexsort((doc, sig, token))
     token, sig, doc, n, pos = (x[order] for x in (token, sig, doc, n, pos))
     once = _first_of(token, sig)
@@ -194,8 +197,10 @@ def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.nd
         firsts.append(x[pair])
         seconds.append(y[pair])
     first, second = np.concatenate(firsts), np.concatenate(seconds)
-    differ = sig[first] != sig[second]
-    first, second = first[differ], second[differ]
+    differ = first != second
+    own = np.flatnonzero(_first_of(*(x[np.lexsort((token, sig))] for x in (sig, token))))
+    own = np.lexsort((token, sig))[own]
+    first, second = np.r_[first[differ], own], np.r_[second[differ], own]
     order = np.lexsort((sig[second], sig[first]))
     first, second = first[order], second[order]
     starts = np.flatnonzero(_first_of(sig[first], sig[second])) if len(first) else none
@@ -217,7 +222,10 @@ def _groups(entries: DataFrame, partitions: int, percent: int) -> DataFrame:
 
     found = entries.repartition(partitions, "token").mapInArrow(run, "leader long, member long, shared long, least long, wide boolean")
     found = found.groupBy("leader", "member").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"), F.bool_or("wide").alias("wide"))
-    return found.where(F.col("wide") | (F.col("shared") >= 1 + F.floor(F.col("least") / 20))).select("leader", "member", "shared", "wide")
+    # A set that is linked at all has enough shingles in blocks, whatever the other set's size.
+    able = found.where(F.col("leader") == F.col("member")).where(F.col("shared") >= 1 + F.floor(F.ceil(F.col("least") * percent / 100) / 20)).select("member")
+    pairs = found.where("leader != member").where(F.col("wide") | (F.col("shared") >= 1 + F.floor(F.col("least") / 20)))
+    return pairs.join(able, "member").select("leader", "member", "shared", "wide")
 
 
 def _set_of(blob) -> np.ndarray:
@@ -244,19 +252,20 @@ def _sets(docs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def _differences(df: DataFrame, keep: list[str]) -> DataFrame:
-    """The answer of ``items`` against ``leader_items``: sizes, overlap and both differences."""
+    """The answer of ``items`` against ``leader_items``: sizes, overlap and, for ``tiled`` rows, both differences."""
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        mine, its = (batch.column(batch.schema.get_field_index(c)) for c in ("items", "leader_items"))
+        mine, its, full = (batch.column(batch.schema.get_field_index(c)) for c in ("items", "leader_items", "tiled"))
         out = {k: [] for k in ("n", "n_leader", "overlap", "added", "dropped")}
-        for a, b in zip(mine, its, strict=True):
+        for a, b, tiled in zip(mine, its, full.to_pylist(), strict=True):
             a, b = _set_of(a), _set_of(b)
             place = np.searchsorted(b, a)
             place[place == len(b)] = 0
             both = b[place] == a
             gone = np.ones(len(b), bool)
             gone[place[both]] = False
-            for k, v in (("n", len(a)), ("n_leader", len(b)), ("overlap", int(both.sum())), ("added", a[~both].tobytes()), ("dropped", b[gone].tobytes())):
+            added, dropped = (a[~both].tobytes(), b[gone].tobytes()) if tiled else (b"", b"")
+            for k, v in (("n", len(a)), ("n_leader", len(b)), ("overlap", int(both.sum())), ("added", added), ("dropped", dropped)):
                 out[k].append(v)
         return out
 
@@ -341,7 +350,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     sets = frames.materialise(_sets(some, live))
     lead = sets.where("leads").select(F.col("sig").alias("leader"), F.col("node").alias("leader_node"), F.col("items").alias("leader_items"))
 
-    first = _differences(sets.join(lead, "leader"), ["node", "leader_node"])
+    first = _differences(sets.where("leader is not null").join(lead, "leader").withColumn("tiled", F.lit(False)), ["node", "leader_node"])
     links = frames.materialise(first.where(linked(F.col("overlap"), F.col("n"), F.col("n_leader"), percent)).select(F.col("node").alias("a"), F.col("leader_node").alias("b")))
     known = frames.materialise(components.components(links))
 
@@ -352,17 +361,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         nodes.select(F.col("sig").alias("leader"), F.col("node").alias("leader_node"), F.col("component").alias("leader_component")), "leader"))
     apart = F.col("component") != F.col("leader_component")
     mixed = pairs.where(F.col("wide")).groupBy("leader").agg(F.count("*").alias("members"), F.count(F.when(apart, 1)).alias("asking")).where("asking > 0 and members > 1")
-    single = pairs.join(mixed, "leader", "left").where(apart & (~F.col("wide") | F.col("members").isNull()))
-    group = pairs.where("wide").join(mixed, "leader")
-
-    def answered(some: DataFrame, keep: list[str]) -> DataFrame:
-        return _differences(some.select("leader", "sig", *keep).join(sets.select("sig", "items"), "sig").join(lead.drop("leader_node"), "leader"), keep + ["leader"])
-
-    found = linked(F.col("overlap"), F.col("n"), F.col("n_leader"), percent)
-    ends = [F.col("node").alias("a"), F.col("leader_node").alias("b")]
-    answers = frames.materialise(answered(group, ["leader_node", "node", "component", "leader_component", "members", "asking"]))
-    across = answered(single, ["node", "leader_node"]).where(found).select(*ends)
-    across = frames.materialise(across.unionByName(answers.where(found & apart).select(*ends)).unionByName(_tiles(answers, percent)))
+    tiled = F.col("wide") & F.col("members").isNotNull()
+    asked = pairs.join(mixed, "leader", "left").withColumn("tiled", tiled).where("tiled or component != leader_component")
+    keep = ["leader", "leader_node", "node", "component", "leader_component", "members", "asking", "tiled"]
+    answers = frames.materialise(_differences(asked.join(sets.select("sig", "items"), "sig").join(lead.drop("leader_node"), "leader"), keep))
+    found = linked(F.col("overlap"), F.col("n"), F.col("n_leader"), percent) & apart
+    direct = answers.where(found).select(F.col("node").alias("a"), F.col("leader_node").alias("b"))
+    across = frames.materialise(direct.unionByName(_tiles(answers.where("tiled"), percent)))
     merged = _relabelled(known, across)
     return (rows.join(classes, "sig", "left").join(merged, F.col("rep") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
