@@ -35,7 +35,7 @@ TABLE_BITS = 1 << 24
 #: Prefix entries that meet in one task of the index, about.
 PARTITION_ENTRIES = 600_000
 #: Blocks of at most so many sets give their pairs.
-NARROW = 16
+NARROW = 4
 TILE, TILE_ASKING = 512, 128
 _CLASSES = words.byte_classes(words.SPACED, lower=True)
 
