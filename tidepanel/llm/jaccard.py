@@ -35,7 +35,7 @@ TABLE_BITS = 1 << 24
 #: Prefix entries that meet in one task of the index, about.
 PARTITION_ENTRIES = 600_000
 #: Blocks of at most so many sets give their pairs.
-NARROW = 4
+NARROW = 16
 TILE, TILE_ASKING = 512, 128
 _CLASSES = words.byte_classes(words.SPACED, lower=True)
 
@@ -123,7 +123,8 @@ def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """Prefix entries ``token``, ``sig``, ``doc_id``, ``n``, ``pos`` of every set; equal sets of a task give one."""
+    """Prefix entries ``token``, ``sig``, ``doc_id`` and ``place`` (size in the upper 32 bits, position below) of every set;
+    equal sets of a task give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -143,9 +144,9 @@ def _entries(docs: DataFrame, frequent, percent: int) -> DataFrame:
                 keep = (position < n[row] - -(-percent * n[row] // 100) + enough(n[row])) & fresh[row]
                 row, values, position = row[keep], values[keep], position[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(_signed(signature[row])), pa.array(ids[s.low + row], pa.int64()),
-                                                  pa.array(n[row].astype(np.int32)), pa.array(position.astype(np.int32))], names=["token", "sig", "doc_id", "n", "pos"])
+                                                  pa.array(n[row] << 32 | position)], names=["token", "sig", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "token long, sig long, doc_id long, n int, pos int")
+    return docs.mapInArrow(run, "token long, sig long, doc_id long, place long")
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -156,9 +157,9 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
-    """From the prefix entries of whole lists: leader, member, blocks they share, smaller size, whether a block was wide.
+    """From the prefix entries of whole lists, for each block: leader, member, smaller size, whether the block is wide.
 
-    A set paired with itself tells the number of its shingles that are in any block.
+    A set paired with itself stands for one of its shingles that is in any block.
     """
     order = np.lexsort((doc, sig, token))
     token, sig, doc, n, pos = (x[order] for x in (token, sig, doc, n, pos))
@@ -185,7 +186,7 @@ def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.nd
         token, sig, doc, n, pos, kind, lower = (x[keep] for x in (token, sig, doc, n, pos, kind, lower))
     none = np.empty(0, np.int64)
     if not len(token):
-        return none, none, none, none, np.empty(0, bool)
+        return none, none, none, np.empty(0, bool)
     starts = np.flatnonzero(_first_of(token, kind))
     sizes = np.diff(np.r_[starts, len(token)])
     block, wide = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes > NARROW, sizes)
@@ -198,16 +199,10 @@ def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.nd
         seconds.append(y[pair])
     first, second = np.concatenate(firsts), np.concatenate(seconds)
     differ = first != second
-    own = np.flatnonzero(_first_of(*(x[np.lexsort((token, sig))] for x in (sig, token))))
-    own = np.lexsort((token, sig))[own]
+    order = np.lexsort((token, sig))
+    own = order[_first_of(sig[order], token[order])]
     first, second = np.r_[first[differ], own], np.r_[second[differ], own]
-    order = np.lexsort((sig[second], sig[first]))
-    first, second = first[order], second[order]
-    starts = np.flatnonzero(_first_of(sig[first], sig[second])) if len(first) else none
-    if not len(starts):
-        return none, none, none, none, np.empty(0, bool)
-    at, to = first[starts], second[starts]
-    return sig[at], sig[to], np.diff(np.r_[starts, len(first)]), np.minimum(n[at], n[to]), np.logical_or.reduceat(wide[first], starts)
+    return sig[first], sig[second], np.minimum(n[first], n[second]), wide[first]
 
 
 def _groups(entries: DataFrame, partitions: int, percent: int) -> DataFrame:
@@ -216,12 +211,14 @@ def _groups(entries: DataFrame, partitions: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches]
         if parts:
-            token, sig, doc, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in index_blocks(token, sig, doc, n.astype(np.int64), pos.astype(np.int64), percent)],
-                                             names=["leader", "member", "shared", "least", "wide"])
-
-    found = entries.repartition(partitions, "token").mapInArrow(run, "leader long, member long, shared long, least long, wide boolean")
-    found = found.groupBy("leader", "member").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"), F.bool_or("wide").alias("wide"))
+            token, sig, doc, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+            rows = [pa.array(x) for x in index_blocks(token, sig, doc, place >> 32, place & 0xFFFFFFFF, percent)]
+            table = pa.Table.from_arrays(rows, names=["leader", "member", "least", "wide"])
+            yield from table.to_batches(max_chunksize=1 << 17)
+
+    found = entries.repartition(partitions, "token").mapInArrow(run, "leader long, member long, least long, wide boolean")
+    # Summed before the shuffle by Spark; written, as it is read twice and the index is made once.
+    found = frames.materialise(found.groupBy("leader", "member").agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.bool_or("wide").alias("wide")))
     # A set that is linked at all has enough shingles in blocks, whatever the other set's size.
     able = found.where(F.col("leader") == F.col("member")).where(F.col("shared") >= 1 + F.floor(F.ceil(F.col("least") * percent / 100) / 20)).select("member")
     pairs = found.where("leader != member").where(F.col("wide") | (F.col("shared") >= 1 + F.floor(F.col("least") / 20)))
