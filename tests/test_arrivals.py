@@ -40,6 +40,8 @@ def test_rebuilt_history_and_new_origins(daily):
     own = [c for c in stored.columns if c not in WEEK_KEYS + ["category_trend", "price_index"]]
     rebuilt = arrivals.rebuilt_features(tables.to_daily(arrivals.append_batches(history, batch)), arrivals.last_known_stats(stored))
     assert arrivals.column_parity(stored, rebuilt, own).filter("mismatches > 0").count() == 0
+    lost = arrivals.column_parity(stored, rebuilt.filter("week <> date'2022-05-02'"), own).filter("mismatches > 0").collect()
+    assert [r.column for r in lost] == ["(missing rows)"]
     panel = arrivals.batch_panel(history, batch, stored)
     assert sorted({str(r.week) for r in panel.collect()}) == ["2022-05-09", "2022-05-16", "2022-05-23", "2022-05-30"]
     frozen = rows_by(stored.filter("week = '2022-05-09'"), "sku")

@@ -44,10 +44,11 @@ def test_ids_are_numeric_sorted_and_shared(spark):
     (lambda rows: [(*rows[0][:5], 2, rows[0][6])] + rows[1:], "binary"),
     (lambda rows: rows[:1] + rows[2:], "gap"),
     (lambda rows: [(*rows[0][:4], None, *rows[0][5:])] + rows[1:], "missing values"),
+    (lambda rows: [(None, *rows[0][1:])] + rows[1:], "missing values"),
 ])
 def test_panel_preconditions(spark, damage, message):
     with pytest.raises(Exception, match=message):
-        causal.group_panel(frame(spark, damage(made(3, 5, 0.4)))).select("log_units").collect()
+        causal.group_panel(frame(spark, damage(made(3, 5, 0.4)))).count()
 
 
 def test_weights_sum_to_one_and_rebuild_the_coefficient(spark):

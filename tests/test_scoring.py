@@ -102,7 +102,7 @@ def test_pairing_ignores_order_and_rejects_bad_keys(panel):
     assert paired.filter("actual != prediction").count() == 0 and paired.count() == 40
     for wrong in (pred.limit(39), pred.unionByName(pred.limit(1))):
         with pytest.raises(Exception, match="keys"):
-            ledger.prediction_rows(gold, wrong, "m", 1).collect()
+            ledger.prediction_rows(gold, wrong, "m", 1).count()
     with pytest.raises(Exception, match="infinite"):
         ledger.prediction_rows(gold, pred.withColumn("prediction", F.lit(float("inf"))), "m", 1).collect()
 

@@ -46,6 +46,11 @@ def named(metrics: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in metrics.items()]
 
 
+def whole(c: Column) -> Column:
+    """Floor of a double as a double. From 2^53 on every double is whole, so nothing is cut to the range of BIGINT."""
+    return F.when(F.abs(c) < float(2 ** 53), F.floor(c).cast("double")).otherwise(c)
+
+
 def stable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Presentation form: doubles rounded half-up, dates as ISO text, integers widened to BIGINT.
 
@@ -58,7 +63,7 @@ def stable(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.floor(c.cast("double") * scale + 0.5).cast("double") / scale
+            c = whole(c.cast("double") * scale + 0.5) / scale
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):

@@ -48,10 +48,11 @@ def rebuilt_features(daily: DataFrame, frozen: DataFrame) -> DataFrame:
 def column_parity(a: DataFrame, b: DataFrame, columns: list[str], keys: list[str] = WEEK_KEYS,
                   tol: float = TOLERANCE) -> DataFrame:
     """(column, rows_compared, mismatches) over the keys both tables have; numbers within tol, text exactly,
-    a value on one side only always counts."""
+    a value on one side only always counts. The row ``(missing rows)`` counts the rows of ``a`` that ``b`` lacks."""
     left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
-    both = left.join(right, keys)
+    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("_found"))
+    both = left.join(right, keys, "left")
+    found = F.col("_found").isNotNull()
 
     def differs(c: str):
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
@@ -59,9 +60,9 @@ def column_parity(a: DataFrame, b: DataFrame, columns: list[str], keys: list[str
             return (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > tol, F.lit(False))
         return ~x.eqNullSafe(y)
 
-    counts = both.agg(F.count(F.lit(1)).alias("_n"), *[count_if(differs(c)).alias(c) for c in columns])
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col("_n").alias("rows_compared"), F.col(c).alias("mismatches"))
-                      for c in columns])
+    counts = both.agg(count_if(found).alias("_n"), count_if(~found).alias("_missing"), *[count_if(found & differs(c)).alias(c) for c in columns])
+    items = F.array(*[F.struct(F.lit(name).alias("column"), F.col("_n").alias("rows_compared"), F.col(c).alias("mismatches"))
+                      for name, c in [*zip(columns, columns), ("(missing rows)", "_missing")]])
     return counts.select(F.explode(items).alias("p")).select("p.*")
 
 

@@ -18,7 +18,8 @@ from tidepanel.operators.validate import count_if
 from tidepanel.schema import SERIES
 from tidepanel.session import cut_lineage
 
-TOLERANCE = 1e-12
+#: Relative residual at which the solver stops, and the largest that it may end with when its steps are used up.
+TOLERANCE, ACCEPTED = 1e-12, 1e-9
 MAX_STEPS = 200
 EXPORT_COLUMNS = ["group_id", "time_id", "log_units", "promotion_flag", "price_unit", "cluster_id", "group_label", "sku"]
 
@@ -35,6 +36,13 @@ def group_panel(df: DataFrame, strict: bool = True) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
+    if strict:
+        # As a filter, before the joins: a row with a missing key would not reach a later check.
+        null_found = F.lit(False)
+        for c in required:
+            null_found = null_found | F.col(c).isNull()
+        df = df.filter(F.when(null_found, F.raise_error(F.lit("required panel columns must not contain missing values"))
+                              .cast("boolean")).otherwise(True))
     # Read by the three id tables and the panel itself.
     labelled = cut_lineage(df.withColumn("group_label", F.concat_ws("|", *SERIES)))
     groups = dense_ids(labelled.select("group_label").distinct(), ["group_label"], "group_id")
@@ -46,14 +54,10 @@ def group_panel(df: DataFrame, strict: bool = True) -> DataFrame:
         return out
     before = F.lag("time_id").over(Window.partitionBy("group_id").orderBy("time_id"))
     checked = out.withColumn("_before", before)
-    null_found = F.lit(False)
-    for c in required:
-        null_found = null_found | F.col(c).isNull()
-    problem = (F.when(null_found, F.raise_error(F.lit("required panel columns must not contain missing values")))
-               .when(F.col("_before") == F.col("time_id"), F.raise_error(F.lit("duplicate (group_id, time_id) rows")))
+    problem = (F.when(F.col("_before") == F.col("time_id"), F.raise_error(F.lit("duplicate (group_id, time_id) rows")))
                .when(~F.col("promotion_flag").isin(0, 1), F.raise_error(F.lit("promotion_flag must be binary")))
                .when(F.col("_before") < F.col("time_id") - 1, F.raise_error(F.lit("internal time gap in a group"))))
-    return checked.withColumn("log_units", F.coalesce(problem.cast("double"), "log_units")).drop("_before")
+    return checked.filter(F.coalesce(problem.cast("boolean"), F.lit(True))).drop("_before")
 
 
 def lead_lag_panel(panel: DataFrame, lags: int = 4, leads: int = 2) -> tuple[DataFrame, list[str]]:
@@ -116,6 +120,8 @@ def _period_effects(df: DataFrame, cols: list[str], entity: str, time: str) -> t
         r = r - r.mean(axis=0)
         new = (r * r).sum(axis=0)
         d, rr = r + np.where(rr > 0, new / np.where(rr > 0, rr, 1.0), 0.0) * d, new
+    if (rr > stop * (ACCEPTED / TOLERANCE) ** 2).any():
+        raise ArithmeticError(f"period effects did not converge: relative residual {np.sqrt((rr / stop).max()) * TOLERANCE:.1e}")
     return periods, x
 
 

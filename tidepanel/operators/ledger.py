@@ -94,8 +94,9 @@ def prediction_rows(gold: DataFrame, pred: DataFrame, model_id: str, fold_id: in
                      F.raise_error(F.lit("keys must be unique")))
                .when(~is_finite("actual"), F.raise_error(F.lit("actuals must be finite")))
                .when(F.abs("prediction") == float("inf"), F.raise_error(F.lit("infinite predictions are invalid"))))
-    return joined.select(*WEEK_KEYS, F.coalesce(problem.cast("double"), "actual").alias("actual"), "prediction",
-                         F.lit(model_id).alias("model_id"), F.lit(fold_id).alias("fold_id"))
+    # As a filter the rules hold whichever columns are read afterwards.
+    return joined.filter(F.coalesce(problem.cast("boolean"), F.lit(True))).select(
+        *WEEK_KEYS, "actual", "prediction", F.lit(model_id).alias("model_id"), F.lit(fold_id).alias("fold_id"))
 
 
 # ---------------------------------------------------------------- scores

@@ -116,10 +116,10 @@ class FittedModel:
         self.inputs = (self.numeric + [f"{c}_idx" for c in self.indexed] + [f"{c}_code" for c in self.coded]
                        + [f"{c}_mean" for c in self.averaged])
         stages.append(VectorAssembler(inputCols=self.inputs, outputCol="features"))
-        # Rows reach the learner in one fixed placement and order, so equal input gives an equal model.
-        n = train.sparkSession.sparkContext.defaultParallelism
+        # Rows reach the learner in one placement and order that follow the data and the session's settings, not the cores
+        # at hand, so equal input gives an equal model.
         keys = [c for c in (*SERIES, "week", "date", "horizon") if c in train.columns]
-        placed = self._prepare(train, training=True).repartition(n, *keys).sortWithinPartitions(*keys)
+        placed = self._prepare(train, training=True).repartition(*keys).sortWithinPartitions(*keys)
         frame = Pipeline(stages=stages).fit(placed)
         data = frame.transform(placed).select("features", F.col(label).cast("double").alias("label"))
         data = data.persist(StorageLevel.MEMORY_AND_DISK)

@@ -57,7 +57,10 @@ def _differs(c: str) -> str:
 SELECT unnest([{', '.join(f"'{c}'" for c in OWN_COLUMNS)}]) AS column_name, n AS rows_compared,
        unnest([{', '.join(OWN_COLUMNS)}]) AS mismatches
 FROM (SELECT count(*) AS n, {', '.join(f'count(*) FILTER ({_differs(c)}) AS {c}' for c in OWN_COLUMNS)}
-      FROM hist_features h JOIN features f USING (sku, channel, region, week))""",
+      FROM hist_features h JOIN features f USING (sku, channel, region, week))
+UNION ALL
+SELECT '(missing rows)', (SELECT count(*) FROM hist_features h JOIN features f USING (sku, channel, region, week)), count(*)
+FROM hist_features h ANTI JOIN features f USING (sku, channel, region, week)""",
        "column_name:s rows_compared:i mismatches:i")
 def rebuild_parity(spark, sf):
     stored = cut_lineage(_stored(spark, sf))

@@ -34,7 +34,8 @@ def scan_batches(spark: SparkSession, folder: str, pattern: str = "batch_*.parqu
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Report table; in CSV missing values read N/A and dates are ISO."""
+    """Report table in the order of its columns; in CSV missing values read N/A and dates are ISO."""
+    df = df.orderBy(*[F.col(f"`{c}`") for c in df.columns])
     if fmt == "csv":
         df.write.mode("overwrite").option("header", True).option("nullValue", "N/A").option(
             "dateFormat", "yyyy-MM-dd").csv(path)
@@ -55,7 +56,8 @@ def _portable(df: DataFrame) -> list[Column]:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.floor(c.cast("double") * 1e6 + 0.5)
+            scaled = c.cast("double") * 1e6 + 0.5
+            c = F.when(F.abs(scaled) < float(2 ** 53), F.floor(scaled).cast("string")).otherwise(scaled.cast("string"))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
         out.append(F.coalesce(c.cast("string"), F.lit("~")))
