@@ -5,6 +5,8 @@ import random
 import re
 
 import public_tokenizers
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -64,6 +66,20 @@ def test_wide_group_is_tiled(spark, monkeypatch):
     test_jaccard_matches_all_pairs(spark)
 
 
+def test_a_tile_gives_a_forest():
+    rows = 40
+    own = [np.array([1000 + i], np.uint64).tobytes() for i in range(rows)]
+    made = {"node": range(rows), "component": range(rows), "n": [101] * rows, "n_leader": [100] * rows, "added": own,
+            "dropped": [b""] * rows, "asks": [True] * rows, "answers": [True] * rows}
+    table = pa.table({k: pa.array(list(v)) for k, v in made.items()})
+    a, b = jaccard.tile_links(table)
+    assert len(a) == rows - 1                  # every pair is linked
+    seen = {0}
+    for _ in range(rows):
+        seen |= {y for x, y in [*zip(a, b), *zip(b, a)] if x in seen}
+    assert seen == set(range(rows))
+
+
 def test_substrings(spark):
     rows = [(i, t) for i, t in near_copies()] + [(None, near_copies()[0][1])]
     first, r = {}, {}

@@ -284,21 +284,25 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tile_links(table: pa.Table, percent: int = PERCENT) -> tuple[list[int], list[int]]:
-    """Links between the asking rows of a tile and those that answer, one per asking row and component."""
+    """Links between the asking rows of a tile and those that answer: a spanning forest of the tile's components, so a tile
+    gives fewer links than it has rows, whatever the number of pairs that are linked."""
     ask, rest = table.filter(table["asks"]), table.filter(table["answers"])
     (of_added, added), (of_dropped, dropped) = _flat(rest["added"]), _flat(rest["dropped"])
     n, gone = rest["n"].to_numpy().astype(np.int64), np.array([len(x.as_buffer()) // 8 for x in rest["dropped"]], np.int64)
-    component, nodes = rest["component"].to_numpy(), rest["node"].to_numpy()
+    _, joined = np.unique(np.r_[rest["component"].to_numpy(), ask["component"].to_numpy()], return_inverse=True)
+    nodes = rest["node"].to_numpy()
     a, b = [], []
     for x in range(ask.num_rows):
         mine, its = _set_of(ask["added"][x]), _set_of(ask["dropped"][x])
         n_x, n_p = ask["n"][x].as_py(), ask["n_leader"][x].as_py()
         overlap = n_p - len(its) - gone + _common(len(n), of_dropped, dropped, its) + _common(len(n), of_added, added, mine)
-        good = linked(overlap, n, n_x, percent) & (component != ask["component"][x].as_py())
-        _, one = np.unique(component[good], return_index=True)
+        theirs, own = joined[:len(n)], joined[len(n) + x]
+        good = linked(overlap, n, n_x, percent) & (theirs != own)
+        other, one = np.unique(theirs[good], return_index=True)
         found = nodes[good][one].tolist()
         a += [ask["node"][x].as_py()] * len(found)
         b += found
+        joined[np.isin(joined, other)] = own
     return a, b
 
 
