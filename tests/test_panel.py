@@ -71,6 +71,9 @@ def test_easter_and_holiday_weeks(spark):
     assert weeks[day("2022-12-19")].is_holiday_peak == 1          # Christmas Eve to Sunday the 25th
     assert weeks[day("2022-06-13")].is_holiday_peak == 0          # sixty days after Easter
     assert day("2022-09-05") not in weeks
+    far = rows_by(easter_sundays(spark).filter("year IN (1818, 1899, 2100, 2285)"), "year")
+    assert [str(far[y].easter) for y in (1818, 1899, 2100, 2285)] == ["1818-03-22", "1899-04-02", "2100-03-28", "2285-03-22"]
+    assert holiday_weeks(spark).filter("week = DATE'2100-12-20'").first().is_holiday_peak == 1
 
 
 def test_event_score_decays_with_distance(spark):

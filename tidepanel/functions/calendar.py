@@ -27,8 +27,8 @@ SUMMER_MONTHS = [6, 7, 8]
 WINTER_MONTHS = [1, 2, 12]
 SCHOOL_BREAK_MONTHS = [7, 8]
 
-# The Easter rule below holds for these years, so the calendar has a fixed size of a few thousand rows.
-FIRST_YEAR, LAST_YEAR = 1900, 2099
+# Every year a date can have: the calendar covers any week and has a fixed size of some 130,000 rows.
+FIRST_YEAR, LAST_YEAR = 1, 9999
 
 
 def monday(day: Column | str) -> Column:
@@ -41,18 +41,21 @@ def _years(spark: SparkSession) -> DataFrame:
 
 
 def easter_sundays(spark: SparkSession) -> DataFrame:
-    """(year, easter) by the Gauss rule, valid 1900-2099."""
-    moon = _years(spark).withColumn("moon", F.expr("(19 * (year % 19) + 24) % 30"))
-    shift = moon.withColumn("sun", F.expr("(2 * (year % 4) + 4 * (year % 7) + 6 * moon + 5) % 7"))
+    """(year, easter) by the Gauss rule of the Gregorian calendar; its two terms shift with the century."""
+    century = _years(spark).withColumn("c", F.expr("year div 100"))
+    terms = century.withColumns({"m": F.expr("(15 + c - c div 4 - (13 + 8 * c) div 25) % 30"), "n": F.expr("(4 + c - c div 4) % 7")})
+    moon = terms.withColumn("moon", F.expr("(19 * (year % 19) + m) % 30"))
+    shift = moon.withColumn("sun", F.expr("(2 * (year % 4) + 4 * (year % 7) + 6 * moon + n) % 7"))
     late = F.expr("(moon = 29 AND sun = 6) OR (moon = 28 AND sun = 6 AND year % 19 > 10)")
     offset = F.col("moon") + F.col("sun") - F.when(late, 7).otherwise(0)
-    return shift.select("year", F.date_add(F.make_date("year", F.lit(3), F.lit(22)), offset).alias("easter"))
+    return shift.select("year", F.date_add(F.make_date("year", F.lit(3), F.lit(22)), offset.cast("int")).alias("easter"))
 
 
 def _fixed_dates(years: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
-    table = F.explode(F.array(*[F.struct(F.lit(d).alias("mmdd"), F.lit(k).alias("kind")) for d, k in entries]))
+    table = F.explode(F.array(*[F.struct(*[F.lit(int(x)).alias(n) for n, x in zip(("month", "day"), d.split("-"))], F.lit(k).alias("kind"))
+                                for d, k in entries]))
     return years.select("year", table.alias("h")).select(
-        F.to_date(F.concat_ws("-", F.col("year").cast("string"), "h.mmdd")).alias("day"), F.col("h.kind").alias("kind"))
+        F.make_date("year", "h.month", "h.day").alias("day"), F.col("h.kind").alias("kind"))
 
 
 def holidays(spark: SparkSession) -> DataFrame:

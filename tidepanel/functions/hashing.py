@@ -11,6 +11,11 @@ def md5_int(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_sum(h: Column) -> Column:
+    """Order-insensitive sum of hashes, exact for any number of rows."""
+    return F.sum(h.cast("decimal(38,0)"))
+
+
 def draw_index(n: Column, *parts: Column | str) -> Column:
     """Reproducible draw from 0..n-1, a function of the parts only (never of task or partition)."""
     return F.pmod(md5_int(*parts), n)

@@ -52,7 +52,7 @@ def whole(c: Column) -> Column:
 
 
 def stable(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Presentation form: doubles rounded half-up, dates as ISO text, integers widened to BIGINT.
+    """Presentation form: doubles rounded half-up, dates as ISO text, integers widened to BIGINT, whole decimals as text.
 
     The order in which a cluster adds doubles is not fixed, so the last bits of an aggregate may differ between
     runs; rounding makes report tables comparable. ``floor(x * 10^d + 0.5) / 10^d`` is used because it is the
@@ -62,7 +62,9 @@ def stable(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0:
+            c = c.cast("string")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = whole(c.cast("double") * scale + 0.5) / scale
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")

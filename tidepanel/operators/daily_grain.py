@@ -51,9 +51,10 @@ def fixed_origin_panel(daily: DataFrame, weekly: DataFrame) -> DataFrame:
     last_known = F.expr("date_add(week, 6)")
     shortest = min(FIXED_LAGS)
     late = F.expr(f"date_sub(target_date, {shortest})") > last_known
-    guard = F.when(late, F.raise_error(F.lit("a daily lag crosses the forecast origin")))
+    # As a filter the rule holds whichever columns are read afterwards.
+    guard = F.when(late, F.raise_error(F.lit("a daily lag crosses the forecast origin")).cast("boolean")).otherwise(True)
     looked = day_lookups(daily, [0, *FIXED_LAGS]).withColumnRenamed("daily_lag_0", "target_daily")
-    rows = expand_horizon(weekly).withColumn("horizon", F.coalesce(guard.cast("int"), "horizon"))
+    rows = expand_horizon(weekly).filter(guard)
     joined = rows.join(looked, [*SERIES, "target_date"], "left").fillna(
         0.0, ["target_daily", *[f"daily_lag_{k}" for k in FIXED_LAGS]])
     return joined.withColumns(_calendar("target_date"))

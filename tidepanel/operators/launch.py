@@ -133,10 +133,10 @@ def eligible_donors(records: DataFrame, held_out: DataFrame) -> DataFrame:
     A launch's own label arrives after its cutoff, so it never counts itself; an item has one launch day, so distinct
     items per day add up.
     """
-    donors = records.join(F.broadcast(held_out.select("sku")), "sku", "left_anti")
+    donors = records.join(held_out.select("sku"), "sku", "left_anti")
     state, running = _pool_columns([])
     pool = _known_by(donors, records, [], state, running)
-    return records.select("sku", F.col("week").alias("day")).distinct().join(F.broadcast(pool), "day").select(
+    return records.select("sku", F.col("week").alias("day")).distinct().join(pool, "day").select(
         "sku", F.col("day").alias("cutoff"), "donors", "donor_items",
         ratio(F.col("donor_units"), F.nullif(F.col("donors"), F.lit(0))).alias("donor_mean"),
         F.col("last_label").alias("train_label_available_max"))
@@ -155,7 +155,7 @@ def hierarchical_mean(records: DataFrame, held_out: DataFrame) -> DataFrame:
         return df.withColumn("_l", levels).select("*", "_l.*").drop("_l")
 
     keys = ["level", "k_category", "k_channel", "k_region"]
-    donors = by_level(records.join(F.broadcast(held_out.select("sku")), "sku", "left_anti"))
+    donors = by_level(records.join(held_out.select("sku"), "sku", "left_anti"))
     targets = by_level(records.select(*WEEK_KEYS, "category"))
     state, running = _pool_columns(keys)
     pools = _known_by(donors, targets, keys, state, running).filter("donors > 0")
@@ -185,7 +185,7 @@ def analog_metadata(records: DataFrame, held_out: DataFrame) -> DataFrame:
         return df.withColumn("_s", sets).select("*", "_s.*").drop("_s")
 
     keys = ["score", "channel", "region"] + [f"k_{a}" for a in attrs]
-    donors = by_match(records.join(F.broadcast(held_out.select("sku")), "sku", "left_anti"))
+    donors = by_match(records.join(held_out.select("sku"), "sku", "left_anti"))
     targets = by_match(records.select(*WEEK_KEYS, *attrs))
     state = {"_donor": F.min(F.struct("sku", "launch_units", "label_available_at"))}
     running = {"donor": F.last("_donor", ignorenulls=True).over(known_window(keys))}
@@ -206,7 +206,7 @@ def chronological_eligibility(records: DataFrame, held_out: DataFrame, min_train
         raise ValueError("min_train_items must be positive")
     pool = eligible_donors(records, held_out)
     rows = records.groupBy("sku").agg(F.count(F.lit(1)).alias("evaluation_rows"))
-    reserved = F.broadcast(held_out.select("sku").withColumn("_reserved", F.lit(True)))
+    reserved = held_out.select("sku").withColumn("_reserved", F.lit(True))
     status = (F.when(F.col("_reserved"), "reserved_existing_test")
               .when(F.col("donor_items") >= min_train_items, "eligible").otherwise("insufficient_prior_launches"))
     return pool.join(rows, "sku").join(reserved, "sku", "left").select(
@@ -246,8 +246,8 @@ def _nearest(paired: DataFrame, keys: list[list[str]]) -> DataFrame:
 
 def analog_tiered(attrs: DataFrame, held_out: DataFrame) -> DataFrame:
     """Nearest earlier-launched item: category+segment+pack, category+pack, category, any; then price, then item."""
-    targets = attrs.join(F.broadcast(held_out.select("sku")), "sku", "left_semi")
-    candidates = attrs.join(F.broadcast(held_out.select("sku")), "sku", "left_anti")
+    targets = attrs.join(held_out.select("sku"), "sku", "left_semi")
+    candidates = attrs.join(held_out.select("sku"), "sku", "left_anti")
     first = F.col("first_seen")
     paired = _for_each_target(candidates, targets, lambda t: first < t["first_seen"])
     return _nearest(paired, [["category", "segment", "pack_type"], ["category", "pack_type"], ["category"]])
@@ -259,31 +259,31 @@ def analog_launch(daily: DataFrame, held_out: DataFrame) -> DataFrame:
     The target's price is its first-day price. Pack type takes no part, it is not an item attribute.
     """
     items = item_table(daily)
-    first_day = daily.join(F.broadcast(held_out.select("sku", "first_seen")), "sku").filter(
+    first_day = daily.join(held_out.select("sku", "first_seen"), "sku").filter(
         F.col("date") == F.col("first_seen"))
     prices = first_day.groupBy("sku").agg(F.avg("price_unit").alias("price_unit"))
-    targets = items.join(F.broadcast(prices), "sku").select(
+    targets = items.join(prices, "sku").select(
         "sku", "category", "segment", "price_unit", F.trunc("first_seen", "week").alias("cutoff"))
     rows = daily.select("sku", "date", F.col("price_unit").alias("_price"), "category", "segment").join(
-        F.broadcast(held_out.select("sku")), "sku", "left_anti")
+        held_out.select("sku"), "sku", "left_anti")
     day = F.col("date")
     before = _for_each_target(rows, targets, lambda t: day < t["cutoff"])
     known = before.groupBy("t", "sku").agg(F.avg("_price").alias("price_unit"), F.min("category").alias("category"),
                                            F.min("segment").alias("segment"))
     best = _nearest(known, [["category", "segment"], ["category"]])
-    return best.join(F.broadcast(targets.select("sku", "cutoff")), "sku")
+    return best.join(targets.select("sku", "cutoff"), "sku")
 
 
 def label_known(panel: DataFrame, cutoff: Column, held_out: DataFrame) -> DataFrame:
     """Training rows whose label was fully observed by the cutoff, without the held-out items."""
     known = F.date_add("week", LABEL_DELAY_DAYS) <= cutoff
-    return panel.filter(known).join(F.broadcast(held_out.select("sku")), "sku", "left_anti")
+    return panel.filter(known).join(held_out.select("sku"), "sku", "left_anti")
 
 
 def training_pool_sizes(panel: DataFrame, held_out: DataFrame) -> DataFrame:
     """Per held-out item: rows, items and latest label of the training data available at its launch Monday."""
     targets = held_out.select("sku", F.trunc("first_seen", "week").alias("cutoff"))
-    rows = panel.join(F.broadcast(held_out.select("sku")), "sku", "left_anti").groupBy("week", "sku").agg(
+    rows = panel.join(held_out.select("sku"), "sku", "left_anti").groupBy("week", "sku").agg(
         F.count(F.lit(1)).alias("n"))
     available = F.date_add("week", LABEL_DELAY_DAYS)
     paired = _for_each_target(rows, targets, lambda t: available <= t["cutoff"])
@@ -301,7 +301,7 @@ def analog_trajectory(panel: DataFrame, analogs: DataFrame) -> DataFrame:
     ``analogs`` has one row per held-out item (sku, analog_sku, cutoff). Labels that were not known at the cutoff
     stay NULL.
     """
-    pairs = F.broadcast(analogs.select("sku", "analog_sku", "cutoff"))
+    pairs = analogs.select("sku", "analog_sku", "cutoff")
     rows = panel.join(pairs, "sku")
     donor = panel.select(F.col("sku").alias("analog_sku"), "channel", "region", "sku_age",
                          F.date_add("week", LABEL_DELAY_DAYS).alias("_available"), F.col(LABEL).alias("pred_analog"))

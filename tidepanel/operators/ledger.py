@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.hashing import key_text, md5_int
+from tidepanel.functions.hashing import hash_sum, key_text, md5_int
 from tidepanel.functions.numeric import forecast_metrics, is_finite, named, ratio
 from tidepanel.operators.rollup import series_window
 from tidepanel.operators.splits import attach_folds, walk_forward_folds
@@ -126,13 +126,13 @@ def fold_scores(ledger: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_eligible"), F.count(p).alias("n_scored"),
         ratio(F.count(p), F.count(F.lit(1))).alias("coverage"),
         *named(forecast_metrics("actual", p)),
-        F.sum(F.when(p.isNotNull(), md5_int(key_text("fold_id", *WEEK_KEYS)))).alias("cohort_part"))
+        hash_sum(F.when(p.isNotNull(), md5_int(key_text("fold_id", *WEEK_KEYS)))).alias("cohort_part"))
 
 
 def cohort_hash(ledger: DataFrame) -> DataFrame:
     """Equal hash means the models were scored on exactly the same keys."""
     return finite_only(ledger).groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("n_scored"), F.sum(md5_int(key_text("fold_id", *WEEK_KEYS))).alias("cohort_hash"))
+        F.count(F.lit(1)).alias("n_scored"), hash_sum(md5_int(key_text("fold_id", *WEEK_KEYS))).alias("cohort_hash"))
 
 
 def _all_or_null(agg: Column, c: str) -> Column:
@@ -144,7 +144,7 @@ def macro_scores(ledger: DataFrame) -> DataFrame:
     """Unweighted mean over folds, spread of WAPE, and ranks only inside identical cohorts."""
     per_model = fold_scores(ledger).groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n_folds"), F.sum("n_eligible").alias("n_eligible"), F.sum("n_scored").alias("n_scored"),
-        F.sum("cohort_part").alias("cohort_hash"),
+        hash_sum(F.col("cohort_part")).alias("cohort_hash"),
         *[_all_or_null(F.avg(m), m).alias(m) for m in METRICS],
         _all_or_null(F.stddev_samp("WAPE"), "WAPE").alias("WAPE_std"))
     scored = per_model.withColumn("coverage", ratio(F.col("n_scored"), F.col("n_eligible")))

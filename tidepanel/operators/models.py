@@ -324,7 +324,7 @@ def launch_model(panel: DataFrame, held_out: DataFrame, spec: Spec, features: li
         if not train.limit(1).count():
             raise ValueError(f"no training labels available before {cutoff}")
         now = held_out.filter(F.trunc("first_seen", "week") == day).select("sku")
-        part = fit_predict(train, panel.join(F.broadcast(now), "sku", "left_semi"), spec, features, LABEL, categorical)
+        part = fit_predict(train, panel.join(now, "sku", "left_semi"), spec, features, LABEL, categorical)
         part = part.withColumn("train_cutoff", day)
         out = part if out is None else out.unionByName(part)
     return out
@@ -338,15 +338,15 @@ def meta_learner(panel: DataFrame, held_out: DataFrame, spec: Spec, features: li
 def zero_history(records: DataFrame, held_out: DataFrame, spec: Spec) -> DataFrame:
     """Launch units from metadata and calendar alone, one fit per distinct launch day."""
     records, held_out = cut_lineage(records), cut_lineage(held_out)
-    days = sorted(r[0] for r in records.join(F.broadcast(held_out.select("sku")), "sku", "left_semi").select(
+    days = sorted(r[0] for r in records.join(held_out.select("sku"), "sku", "left_semi").select(
         "week").distinct().collect())
-    donors = records.join(F.broadcast(held_out.select("sku")), "sku", "left_anti")
+    donors = records.join(held_out.select("sku"), "sku", "left_anti")
     out = None
     for day in days:
         train = donors.filter(F.col("label_available_at") <= F.lit(day))
         if not train.limit(1).count():
             raise ValueError(f"no completed training launches before {day}")
-        now = records.filter(F.col("week") == F.lit(day)).join(F.broadcast(held_out.select("sku")), "sku", "left_semi")
+        now = records.filter(F.col("week") == F.lit(day)).join(held_out.select("sku"), "sku", "left_semi")
         part = fit_predict(train, now, spec, ZERO_HISTORY_FEATURES, "launch_units",
                            ["category", "segment", "brand", "channel", "region"]).withColumnRenamed("prediction", "pred_zero_model")
         out = part if out is None else out.unionByName(part)

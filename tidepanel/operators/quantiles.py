@@ -1,8 +1,8 @@
 """Exact quantiles and distribution distances without sorting a column through one task.
 
 Values are counted first, so a value that makes up a third of the rows is one row afterwards. The distinct values
-are then split at approximate quantiles: running totals are taken inside each slice and shifted by the totals of the
-slices before it. The slice boundaries only balance the work; the results do not depend on them.
+are then range-partitioned: running totals are taken inside each partition and shifted by the totals of the partitions
+before it. The placement is materialised first; the boundaries only balance the work, results do not depend on them.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidepanel.functions.numeric import ratio
 from tidepanel.session import cut_lineage
 
-SLICES = 64
-
 
 def value_counts(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """(by..., column, value, n) for several numeric columns in one pass; NULLs are left out."""
@@ -25,15 +23,10 @@ def value_counts(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataF
 
 def running_totals(counts: DataFrame, measures: list[str]) -> DataFrame:
     """Add ``cum_<m>``: per ``column``, the total of m over values up to and including this one."""
-    counts = cut_lineage(counts)
-    cuts = [i / SLICES for i in range(1, SLICES)]
-    bounds = counts.groupBy("column").agg(F.percentile_approx("value", cuts, 1000).alias("_bounds"))
-    # One row per melted column (a literal list in the caller), so this side is bounded.
-    sliced = counts.join(F.broadcast(bounds), "column").withColumn(
-        "_slice", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")
+    sliced = cut_lineage(counts.repartitionByRange("column", "value").withColumn("_slice", F.spark_partition_id()))
     before = Window.partitionBy("column").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slice_totals = sliced.groupBy("column", "_slice").agg(*[F.sum(m).alias(m) for m in measures])
-    # At most SLICES rows per column.
+    # At most one row per column and range partition.
     offsets = slice_totals.select("column", "_slice", *[
         F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off_{m}") for m in measures])
     inside = Window.partitionBy("column", "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)

@@ -139,7 +139,7 @@ _SCALED = {"l_quantity", "l_extendedprice", "o_totalprice", "c_acctbal", "p_reta
     f"SELECT '{t}' AS table_name, count(*) AS n_rows, sum(CAST(('0x' || substr(md5(concat_ws('|', " + ", ".join(
         f"coalesce(CAST({f'CAST(floor({c} * 1e6 + 0.5) AS BIGINT)' if c in _SCALED else c} AS VARCHAR), '~')" for c in cols)
     + f")), 1, 8)) AS BIGINT)) AS content_hash FROM {t}" for t, cols in _PRINTED.items()),
-       "table_name:s n_rows:i content_hash:i")
+       "table_name:s n_rows:i content_hash:d")
 def input_fingerprint(spark, sf):
     out = None
     for t, cols in _PRINTED.items():

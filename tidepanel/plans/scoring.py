@@ -271,11 +271,11 @@ FROM (SELECT model_id, count(*) AS n_folds, sum(n_eligible) AS n_eligible, sum(n
         CASE WHEN count(WAPE) = count(*) THEN stddev_samp(WAPE) END AS WAPE_std
       FROM fold_scored GROUP BY model_id)
 """)
-MACRO_SPEC = (f"model_id:s n_folds:i n_eligible:i n_scored:i coverage:f cohort_hash:i {METRIC_SPEC} WAPE_std:f rank:f")
+MACRO_SPEC = (f"model_id:s n_folds:i n_eligible:i n_scored:i coverage:f cohort_hash:d {METRIC_SPEC} WAPE_std:f rank:f")
 
 
 @query("fold_scores", "SELECT * FROM fold_scored",
-       f"model_id:s fold_id:i n_eligible:i n_scored:i coverage:f {METRIC_SPEC} cohort_part:i")
+       f"model_id:s fold_id:i n_eligible:i n_scored:i coverage:f {METRIC_SPEC} cohort_part:d")
 def fold_scores(spark, sf):
     return ledger.fold_scores(cv_ledger(spark, sf))
 
@@ -292,13 +292,13 @@ def baseline_scoreboard(spark, sf):
     return ledger.macro_scores(cv_ledger(spark, sf)).select("model_id", *ledger.METRICS)
 
 
-@query("model_rank", "SELECT model_id, cohort_hash, WAPE, rank FROM macro", "model_id:s cohort_hash:i WAPE:f rank:f")
+@query("model_rank", "SELECT model_id, cohort_hash, WAPE, rank FROM macro", "model_id:s cohort_hash:d WAPE:f rank:f")
 def model_rank(spark, sf):
     return ledger.macro_scores(cv_ledger(spark, sf)).select("model_id", "cohort_hash", "WAPE", "rank")
 
 
 @query("cohort_hash", "SELECT model_id, sum(n_scored) AS n_scored, sum(cohort_part) AS cohort_hash FROM fold_scored GROUP BY model_id",
-       "model_id:s n_scored:i cohort_hash:i")
+       "model_id:s n_scored:i cohort_hash:d")
 def cohort_hash(spark, sf):
     return ledger.cohort_hash(cv_ledger(spark, sf))
 

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidepanel.functions.hashing import md5_int
+from tidepanel.functions.hashing import hash_sum, md5_int
 from tidepanel.functions.numeric import is_finite
 from tidepanel.operators.causal import EXPORT_COLUMNS
 from tidepanel.operators.ledger import prediction_rows
@@ -66,7 +66,7 @@ def _portable(df: DataFrame) -> list[Column]:
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """Row count and an order-insensitive content hash, combined map-side."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(md5_int(*_portable(df))).alias("content_hash")).select(
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), hash_sum(md5_int(*_portable(df))).alias("content_hash")).select(
         F.lit(name).alias("table_name"), "n_rows", "content_hash")
 
 
