@@ -47,7 +47,8 @@ def paired_errors(ledger: DataFrame, model_a: str, model_b: str, keys: list[str]
         F.max(F.when(F.col("model_id") == model_b, err)).alias("err_b"), F.count(F.lit(1)).alias("_n"))
     problem = F.when((F.col("_n") != 2) | F.col("err_a").isNull() | F.col("err_b").isNull(),
                      F.raise_error(F.lit("models must be scored on identical keys")))
-    return pair.withColumn("actual", F.coalesce(problem.cast("double"), "actual")).drop("_n")
+    # As a filter the rule holds whichever columns are read afterwards.
+    return pair.filter(F.coalesce(problem.cast("boolean"), F.lit(True))).drop("_n")
 
 
 def cluster_bootstrap(ledger: DataFrame, model_a: str, model_b: str, keys: list[str], reps: int = 2000,
