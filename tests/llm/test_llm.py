@@ -131,6 +131,24 @@ def test_patience_and_line_dedup(spark):
     assert sorted(got, key=str) == sorted([(1, "\n".join(a)), (2, "\n".join([b[0], *b[3:]])), (4, None), (None, "\n".join(a))], key=str)
 
 
+@pytest.mark.parametrize("holders", [2, 9, 1000])
+def test_frequent_lines_go_beside_a_rarer_one(spark, holders):
+    """Against every later document aligned with the first holder of each of its lines."""
+    block, rarer = ["a block of lines that many have.", "its second line has words too."], "a rarer line that two others share."
+    rows = [(i, [f"own line number {i} stands here.", *block]) for i in range(holders)]
+    rows += [(2000, ["head of the other document here.", rarer]), (2001, [*block, "a line between the two of them.", rarer]), (2002, [rarer, *block])]
+    first, left = {}, {}
+    for i, t in rows:
+        partners = {first[x] for x in t if x in first}
+        gone = {j for k in partners for j in lines.blocks(lines.patience(dict(rows)[k], t), [len(x.split()) for x in t])}
+        left[i] = [x for j, x in enumerate(t) if j not in gone]
+        for x in t:
+            first.setdefault(x, i)
+    assert left[2001] == ["a line between the two of them."] and left[2002] == []
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    assert {r.doc_id: r.cleaned for r in lines.dedup(docs).select("doc.doc_id", "cleaned").collect()} == {i: "\n".join(t) for i, t in left.items()}
+
+
 def test_quality_verdicts(spark):
     prose = "\n".join(" ".join(words(k, 12)) + "." for k in range(8))
     docs = spark.createDataFrame([(1, prose), (2, "buy now " * 60), (3, None), (4, "a | b | c | d | e\n" * 3 + prose), (5, " | ".join(words(9, 80)))], "doc_id long, text string")

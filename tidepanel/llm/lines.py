@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through the hashes of rare lines they share. A pair is always (first document that has the
+Documents that overlap are found through the hashes of all lines they share. A pair is always (first document that has the
 line, later document), so a line adds one pair per later document, however many share it. The two line sequences, as hashes,
 are aligned with patience diff, and blocks of the alignment are deleted from the later document. Only hashes are
 joined; texts move once, to have their lines cut.
@@ -14,14 +14,10 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidepanel.llm import frames
 from tidepanel.llm.quality import BLANKS
 
-#: A line of at most so many documents is rare. In a document without any such line that others share, the rarest of its
-#: shared lines counts as rare, so no document and no line is left out.
-RARE = 8
 #: Aligned blocks of fewer words stay.
 MIN_WORDS = 5
 
@@ -94,22 +90,19 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return df.select("key", lines.alias("lines")).where(F.size("lines") > 0).dropDuplicates(["key"])
 
 
-def overlaps(table: DataFrame, rare: int = RARE) -> DataFrame:
-    """Distinct pairs ``earlier``, ``later`` of keys, for each later document and the first holders of its rare lines."""
+def overlaps(table: DataFrame) -> DataFrame:
+    """Distinct pairs ``earlier``, ``later`` of keys, for each later document and the first holder of each of its lines."""
     held = table.select("key", F.explode(F.array_distinct(F.transform("lines", lambda e: e["h"]))).alias("h"))
     shared = held.groupBy("h").agg(F.count("*").alias("df"), F.min("key").alias("earlier")).where("df > 1")
-    both = held.join(shared, "h").where("key.id > earlier.id")
-    rarest = F.min("df").over(Window.partitionBy("key"))
-    return (both.withColumn("rarest", rarest).where((F.col("df") <= rare) | (F.col("df") == F.col("rarest")))
-            .select("earlier", F.col("key").alias("later")).distinct())
+    return held.join(shared, "h").where("key.id > earlier.id").select("earlier", F.col("key").alias("later")).distinct()
 
 
-def deletions(table: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:
+def deletions(table: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``key`` and the numbers ``gone`` of its lines in aligned blocks, for documents that lose any."""
     slim = table.select("key", F.transform("lines", lambda e: e["g"]).alias("g"))
     later = table.select(F.col("key").alias("later"), F.transform("lines", lambda e: e["g"]).alias("later_g"),
                          F.transform("lines", lambda e: e["no"]).alias("no"), F.transform("lines", lambda e: e["words"]).alias("words"))
-    pairs = overlaps(table, rare).join(later, "later")
+    pairs = overlaps(table).join(later, "later")
     pairs = pairs.join(slim.select(F.col("key").alias("earlier"), F.col("g").alias("earlier_g")), "earlier")
 
     def align(batch: pa.RecordBatch) -> dict[str, object]:
@@ -125,13 +118,13 @@ def deletions(table: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> Dat
             .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``doc`` (the whole row), ``n_lines``, ``n_deleted``, ``cleaned``, ``emptied`` (lines were deleted, no word is left).
 
     Of two documents the one with the smaller id is the earlier. Rows without an id stay as they are, rows that share an id
     are not compared, a null text stays null, an empty table gives an empty one.
     """
-    gone = deletions(frames.materialise(line_table(docs, doc_id, text)), rare, least)
+    gone = deletions(frames.materialise(line_table(docs, doc_id, text)), least)
     body = F.col("text")
     df = frames.packed(docs, text).withColumn("key", F.struct(F.col("doc").getField(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("text")))
     df = df.join(gone, df.key.eqNullSafe(gone.key), "left").drop("key")
