@@ -149,6 +149,30 @@ def test_frequent_lines_go_beside_a_rarer_one(spark, holders):
     assert {r.doc_id: r.cleaned for r in lines.dedup(docs).select("doc.doc_id", "cleaned").collect()} == {i: "\n".join(t) for i, t in left.items()}
 
 
+def test_repeated_passages_are_aligned(spark):
+    p, own = ["a passage of lines that comes twice.", "tiny", "its third line has words too."], [f"own line number {i} stands here." for i in range(9)]
+    assert lines.patience([1, 7, 8, 2, 7, 8, 3], [4, 7, 8, 5]) == [(1, 1), (2, 2)]            # twice in the earlier
+    assert lines.patience([1, 7, 8, 3], [4, 7, 8, 5, 7, 8, 6]) == [(1, 1), (2, 2)]            # twice in the later
+    assert lines.patience([1, 7, 9, 7, 8, 9, 2, 8, 9], [4, 7, 8, 9, 5, 8, 9, 6]) == [(3, 1), (4, 2), (5, 3), (7, 5), (8, 6)]
+    docs = {1: [own[0], *p, own[1], *p, own[2]], 2: [own[3], *p, own[4]], 3: [own[5], *p, own[6], *p, own[7]]}
+    left = {1: docs[1], 2: [own[3], own[4]], 3: [own[5], own[6], own[7]]}
+    got = lines.dedup(spark.createDataFrame([(i, "\n".join(t)) for i, t in docs.items()], "doc_id long, text string"))
+    assert {r.doc_id: r.cleaned for r in got.select("doc.doc_id", "cleaned").collect()} == {i: "\n".join(t) for i, t in left.items()}
+
+
+def test_runs_are_the_longest_ones():
+    """Against all pairs of places, on short sequences of few lines."""
+    r = random.Random(6)
+    for _ in range(2000):
+        a, b = ([r.randrange(3) - (1 << 63) for _ in range(r.randrange(1, 14))] for _ in range(2))
+        longest = max(n for n in range(15) for i in range(len(a)) for j in range(len(b)) if i + n <= len(a) and j + n <= len(b) and a[i:i + n] == b[j:j + n])
+        got = lines._runs(a, b, 0, len(a), 0, len(b))
+        assert len(got) >= longest and (longest == 0) == (got == []) and all(a[i] == b[j] for i, j in got)
+        assert got[:longest] == [(got[0][0] + k, got[0][1] + k) for k in range(longest)] if got else True
+        matched = lines.patience(a, b)
+        assert all(a[i] == b[j] for i, j in matched) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(matched, matched[1:]))
+
+
 def test_quality_verdicts(spark):
     prose = "\n".join(" ".join(words(k, 12)) + "." for k in range(8))
     docs = spark.createDataFrame([(1, prose), (2, "buy now " * 60), (3, None), (4, "a | b | c | d | e\n" * 3 + prose), (5, " | ".join(words(9, 80)))], "doc_id long, text string")

@@ -2,7 +2,7 @@
 
 Documents that overlap are found through the hashes of all lines they share. A pair is always (first document that has the
 line, later document), so a line adds one pair per later document, however many share it. The two line sequences, as hashes,
-are aligned with patience diff, and blocks of the alignment are deleted from the later document. Only hashes are
+are aligned with patience diff, with the longest common runs where no line is unique, and blocks of the alignment are deleted from the later document. Only hashes are
 joined; texts move once, to have their lines cut.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from tidepanel.llm.quality import BLANKS
 
 #: Aligned blocks of fewer words stay.
 MIN_WORDS = 5
+#: Of the hashes that find equal runs; what they find is compared.
+_PRIME, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C1
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -43,8 +46,51 @@ def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) ->
     return out[::-1]
 
 
+def _prefixes(x: list[int]) -> list[int]:
+    """Polynomial hashes of all beginnings."""
+    return list(accumulate(x, lambda h, v: (h * _BASE + v) % _PRIME, initial=0))
+
+
+def _runs(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Places of the longest common runs of both ranges: the first, then the next ones after it that are as long.
+
+    What is left between them has shorter runs only, so a range is searched once per length.
+    """
+    common = set(a[a0:a1]) & set(b[b0:b1])
+    if not common:
+        return []
+    in_a, in_b = _prefixes(a[a0:a1]), _prefixes(b[b0:b1])
+
+    def windows(h: list[int], n: int) -> list[int]:
+        power = pow(_BASE, n, _PRIME)
+        return [(y - x * power) % _PRIME for x, y in zip(h, h[n:])]
+
+    longest, above = 1, min(a1 - a0, b1 - b0) + 1
+    while above - longest > 1:
+        n = (longest + above) // 2
+        if set(windows(in_a, n)).isdisjoint(windows(in_b, n)):
+            above = n
+        else:
+            longest = n
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(windows(in_a, longest), a0):
+        places.setdefault(x, []).append(i)
+    out, i, j = [], a0, b0
+    for k, x in enumerate(windows(in_b, longest), b0):
+        if k < j or x not in places:
+            continue
+        at = bisect_left(places[x], i)
+        if at < len(places[x]) and a[(m := places[x][at]):m + longest] == b[k:k + longest]:
+            out += zip(range(m, m + longest), range(k, k + longest))
+            i, j = m + longest, k + longest
+    return out
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places of two sequences, ascending in both: equal ends, unique common lines in order, and so on between them."""
+    """Aligned places of two sequences, ascending in both: equal ends, unique common lines in order, and so on between them.
+
+    A range without a unique common line is aligned by its longest common runs.
+    """
     matched, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -54,7 +100,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             matched.append((a1, b1))
-        if a0 < a1 and b0 < b1 and (chain := _anchors(a, b, a0, a1, b0, b1)):
+        if a0 < a1 and b0 < b1 and (chain := _anchors(a, b, a0, a1, b0, b1) or _runs(a, b, a0, a1, b0, b1)):
             for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *chain], [*chain, (a1, b1)], strict=True):
                 todo.append((i + 1, k, j + 1, m))
             matched += chain
