@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import day, rows_by
 from tidepanel.operators import encode, models, splits
+from tidepanel.plans import QUERIES, forecasts
 from tidepanel.schema import FEATURE_COLS, FEATURE_GROUPS, LABEL
 
 COLS = ["sku", "channel", "units_sold", "lag_1"]
@@ -119,3 +120,27 @@ def test_high_cardinality_columns_are_averaged_not_indexed(learnable, monkeypatc
     spec = models.Spec("small", "gbt", "index", {"maxIter": 3, "maxDepth": 3, "seed": 1})
     model = models.fit(train, spec, COLS, LABEL, CATS)
     assert model.averaged == ["sku"] and model.indexed == ["channel"] and model.predict(val).filter("prediction IS NULL").count() == 0
+
+
+def test_registered_models_run_whole(spark, learnable, monkeypatch):
+    """Every fold and the published settings; the learner itself is left out."""
+    calendar = splits.fold_calendar(learnable, "2022-08-01", val_fold_weeks=8, final_test_weeks=8)
+    folds = calendar.agg(F.max("n_folds")).first()[0]
+    due = splits.attach_folds(learnable, calendar).filter("fold_id > 0 AND NOT is_holdout").count()
+    seen = []
+
+    def record(train, val, spec, *rest):
+        seen.append(spec)
+        return val.withColumn("prediction", F.lit(0.0))
+
+    monkeypatch.setattr(models, "fit_predict", record)
+    monkeypatch.setattr(forecasts, "_features", lambda spark, sf: learnable)
+    monkeypatch.setattr(forecasts.scoring, "calendar", lambda base: calendar)
+    for name, spec in models.SPECS.items():
+        seen.clear()
+        assert QUERIES[name](spark, "").count() == due and seen == [spec] * folds and folds > 1
+    seen.clear()
+    ledger = QUERIES["feature_ablation"](spark, "")
+    assert ledger.count() == 6 and seen == [models.SPECS["global_gbt"]] * 7 * folds
+    assert all(s.params["maxIter"] == 300 for n, s in models.SPECS.items() if s.family == "gbt")
+    assert forecasts.LAUNCH_HELD_OUT == 5 and len(models.LOCAL_FEATURES) == 31

@@ -203,8 +203,8 @@ def top_importances(spark, model: FittedModel, n: int = 15) -> DataFrame:
 
 # ---------------------------------------------------------------- one model per item
 
-LOCAL_FEATURES = ["units_sold", "lag_1", "lag_2", "rolling_mean_4", "rolling_std_4", "price_index", "promotion_flag",
-                  "promo_recency", "rolling_promo_rate", "is_holiday_week", "is_summer", "is_winter"]
+# Every numeric model input.
+LOCAL_FEATURES = [c for c in FEATURE_COLS if c not in CATEGORICAL_COLS]
 
 
 def local_per_item(train: DataFrame, val: DataFrame, features: list[str] = LOCAL_FEATURES, ridge: float = 1e-3) -> DataFrame:
