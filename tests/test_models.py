@@ -144,3 +144,14 @@ def test_registered_models_run_whole(spark, learnable, monkeypatch):
     assert ledger.count() == 6 and seen == [models.SPECS["global_gbt"]] * 7 * folds
     assert all(s.params["maxIter"] == 300 for n, s in models.SPECS.items() if s.family == "gbt")
     assert forecasts.LAUNCH_HELD_OUT == 5 and len(models.LOCAL_FEATURES) == 31
+
+
+def test_encoding_does_not_depend_on_size(learnable):
+    train, _ = halves(learnable)
+    wide = train.crossJoin(learnable.sparkSession.range(70).withColumnRenamed("id", "n"))
+    many = wide.withColumn("sku", F.concat("sku", F.col("n").cast("string"))).drop("n")
+    for name in ("global_gbt", "global_rf"):
+        spec = models.SPECS[name].sized(trees=1, depth=1)
+        assert models.fit(train, spec, COLS, LABEL, CATS).inputs == models.fit(many, spec, COLS, LABEL, CATS).inputs
+    with pytest.raises(ValueError, match="channel"):
+        models.fit(many.withColumn("channel", F.col("sku")), models.SPECS["global_gbt"].sized(trees=1, depth=1), COLS, LABEL, CATS)

@@ -38,20 +38,25 @@ DEV_FOLDS = 3
 # Missing numbers become a value outside the feature's range, so trees can split them off.
 MISSING = -1.0
 MISSING_BY_COLUMN = {"momentum": -1e6}
-# Columns with more distinct values than this are encoded by target means through a join: an index of labels held on
-# the driver, and a tree bin per label, are only kept for small vocabularies.
+# Labels of an index are held on the driver and take a tree bin each, one more for unseen values. A column with more is
+# an error: it belongs into the spec's ``averaged``.
 MAX_INDEXED_LEVELS = 256
 MEAN_PRIOR_ROWS = 1.0
 
 
 @dataclass(frozen=True)
 class Spec:
-    """One model: family (gbt, rf, huber, poisson), loss, size, and how categoricals are encoded."""
+    """One model: family (gbt, rf, huber, poisson), loss, size, and how categoricals are encoded, whatever their size.
+
+    ``index``: labels are indexed, except for ``averaged`` columns, which have ordered means of earlier targets;
+    ``codes``: every column has codes through a join; ``target``: every column has ordered means.
+    """
 
     name: str
     family: str = "gbt"
     encoding: str = "index"
     params: dict = field(default_factory=dict)
+    averaged: tuple[str, ...] = ("sku",)
 
     def sized(self, trees: int | None = None, depth: int | None = None) -> "Spec":
         """Same model with fewer trees or less depth, for trial runs."""
@@ -98,14 +103,13 @@ class FittedModel:
         self.spec, self.features, self.label = spec, list(features), label
         cats = [c for c in categorical if c in features]
         self.numeric = [c for c in features if c not in cats]
-        self.indexed, self.coded, self.averaged = [], [], []
-        if cats and spec.encoding == "target":
-            self.averaged = cats
-        elif cats:
-            levels = train.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
-            small = [c for c in cats if levels[c] <= MAX_INDEXED_LEVELS * 0.9]
-            self.averaged = [c for c in cats if c not in small]
-            self.coded, self.indexed = (small, []) if spec.encoding == "codes" else ([], small)
+        self.coded = cats if spec.encoding == "codes" else []
+        self.averaged = [c for c in cats if spec.encoding == "target" or spec.encoding == "index" and c in spec.averaged]
+        self.indexed = [c for c in cats if c not in self.coded and c not in self.averaged]
+        if self.indexed:
+            levels = train.agg(*[F.count_distinct(c).alias(c) for c in self.indexed]).first()
+            if wide := [c for c in self.indexed if levels[c] + 1 > MAX_INDEXED_LEVELS]:
+                raise ValueError(f"too many values for an index: {', '.join(wide)}")
         self.codes = cut_lineage(encode.fit_codes(train, self.coded)) if self.coded else None
         self.means = {c: cut_lineage(target_means(train, c, label)) for c in self.averaged}
         self.prior = train.agg(F.avg(label)).first()[0] if self.averaged else None
@@ -134,7 +138,7 @@ class FittedModel:
         if self.coded:
             out = encode.apply_codes(out, self.codes, self.coded)
         for c in self.averaged:
-            if training and self.spec.encoding == "target" and "week" in df.columns:
+            if training and "week" in df.columns:
                 # Training rows only see targets that were complete before them. The lookup is built from the given
                 # rows, not from the joins so far, or every column would replay all columns before it.
                 earlier = encode.ordered_target_means(df, c, self.label, MEAN_PRIOR_ROWS)

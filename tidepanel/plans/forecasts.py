@@ -48,7 +48,7 @@ def _summary(scored):
 def model_frame_tree(spark, sf):
     def frame(train, val):
         model = models.fit(train, models.SPECS["global_gbt"].sized(trees=1, depth=1))
-        return model.design(val).select(*WEEK_KEYS, F.lit(len(model.inputs)).alias("n_inputs"), F.col("sku_idx"), F.col("lifecycle_stage_idx"))
+        return model.design(val).select(*WEEK_KEYS, F.lit(len(model.inputs)).alias("n_inputs"), F.col("sku_mean"), F.col("lifecycle_stage_idx"))
     return _by_fold(spark, sf, frame)
 
 
