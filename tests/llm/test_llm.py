@@ -217,6 +217,15 @@ def test_licenses(spark):
     assert got["none"] == got["null"] == got["near"] == []
 
 
+def test_license_recall(spark):
+    """Of short notices in random contexts no more are missed than a few times what PROBABILITY allows."""
+    r, n = random.Random(8), 3000
+    for name in ("all-rights-reserved", "mit"):
+        texts = [" ".join([*(f"w{r.randrange(10 ** 6)}" for _ in range(r.randrange(8, 24))), licenses.TEMPLATES[name], *(f"w{r.randrange(10 ** 6)}" for _ in range(20))]) for _ in range(n)]
+        found = licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string"), ["text"]).where(F.array_contains("licenses", name))
+        assert n - found.count() <= 3 * (1 - licenses.PROBABILITY) * n
+
+
 def test_revisits(spark):
     rows = [(1, "response", 200, "http://www.A.org/x/", 10, '"e1"', None, "d1", {"ETag": '"e1"', "Date": "1", "Content-Type": "t"}), (2, "response", 200, "https://a.org/x?utm_source=q#f", 20, '"e2"', None, "d2", {"Date": "2"}),
             (3, "response", 404, "a.org/x", 25, None, None, None, {}), (4, "revisit", 304, "HTTPS://A.org/x/index.html", 30, 'W/"e2"', None, None, {"date": "3", "Content-Length": "0"}),

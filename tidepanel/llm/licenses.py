@@ -67,19 +67,17 @@ def classes(templates: dict[str, str]) -> dict[int, dict[str, list[str]]]:
     return out
 
 
-def bands(longest: int, members: dict[str, list[str]]) -> int:
-    """Bands of a class, from the least Jaccard similarity between a match and the window that has it."""
-    window = 2 * longest - SHINGLE + 1
+def bands(longest: int, members: dict[str, list[str]], size: int) -> int:
+    """Bands of a class, from the least Jaccard similarity between a match and the window of shingles that has it."""
+    window = 2 * longest - size + 1
     needed = [math.ceil(CONTAINMENT * len(shingles_of(w))) for w in members.values()]
     least = min(n / (window + math.floor(n / CONTAINMENT) - n) for n in needed)
     return math.ceil(math.log(1 - PROBABILITY) / math.log(1 - least))
 
 
 def _minima(hashes: Column, n: int) -> Column:
-    """One value per band: the least of the hashes under a mask of the band."""
-    masks = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.xxhash64(F.lit("band"), k))
-    return F.transform(masks, lambda m: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(m))))
-
+    """One value per band: the least of the hashes, each hashed again with the band, so that all are equally likely."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
 
 
 def _shingle_hashes(words: Column, size: int) -> Column:
@@ -120,11 +118,11 @@ def scan(df: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES)
     words = F.col("_words")
     found = []
     for longest, members in sorted(kinds.items()):
-        b = bands(longest, members)
         sized: dict[int, list[str]] = {}
         for name, w in members.items():
             sized.setdefault(min(SHINGLE, len(w)), []).append(name)
         for size, names in sorted(sized.items()):
+            b = bands(longest, {name: members[name] for name in names}, size)
             hashes, windows = f"_h{longest}_{size}", f"_w{longest}_{size}"
             df = _column(df, hashes, _shingle_hashes(words, size))
             df = _column(df, windows, _windows(F.col(hashes), 2 * longest - size + 1, longest, b))
