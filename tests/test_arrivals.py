@@ -155,3 +155,14 @@ def test_gate_sets_broken_deliveries_aside(spark, daily, folder):
     assert spark.read.parquet(f"{folder}/ok").count() == good.count()
     assert spark.read.parquet(f"{folder}/quarantine").count() == bad.count()
     assert spark.read.parquet(f"{folder}/reports").count() == 28
+
+
+def test_manifest_sees_every_source_column(spark, monkeypatch):
+    from tidepanel.plans import QUERIES, deliveries
+    read, sf = tables.table, "/root/testdata/sf0.001"
+    base = json.loads(QUERIES["run_manifest"](spark, sf).first().manifest)["inputs"]
+    assert {x["table_name"] for x in base} == set(deliveries.SOURCES)
+    changed = {"lineitem": "l_shipdate", "nation": "n_name"}
+    monkeypatch.setattr(tables, "table", lambda spark, sf, t: read(spark, sf, t).withColumn(changed[t], F.lit(None).cast("string")) if t in changed else read(spark, sf, t))
+    got = json.loads(QUERIES["run_manifest"](spark, sf).first().manifest)["inputs"]
+    assert {x["table_name"] for x in got if x not in base} == set(changed)
