@@ -42,7 +42,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join),
           ("benchmark decontamination", benchmark_decontamination), ("byte-level BPE", byte_bpe)]
 
-#: Byte-pair merges, patience diff and components have no SQL form; tests/llm compares run() with a brute-force version.
+#: Byte-pair merges, patience diff and components have no SQL form; tests/llm compares run() with its stages called one by one.
 ORACLE_SQL = None
 
 
