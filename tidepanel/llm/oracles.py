@@ -43,3 +43,39 @@ link AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_i
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
 FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+# The tree level by level: a run of two gives its parent, a lone node is hashed alone, until a group has one node.
+_TREE = """SELECT * FROM {leaves} UNION ALL
+    SELECT grp, lvl + 1, pos // 2, sha256(d || coalesce(nd, '')), (n + 1) // 2
+    FROM (SELECT *, lead(d) OVER (PARTITION BY grp ORDER BY pos) AS nd FROM {tree} WHERE n > 1) WHERE pos % 2 = 0"""
+# A leaf climbs: at each level its sibling is the other node of its run, if there is one.
+_CLIMB = """SELECT c.id, c.lvl + 1, c.pos // 2, c.grp, c.proof || coalesce(s.d, ''),
+    sha256(CASE WHEN s.d IS NULL THEN c.f WHEN c.pos % 2 = 1 THEN s.d || c.f ELSE c.f || s.d END)
+    FROM {climb} c JOIN {tree} o ON o.grp = c.grp AND o.lvl = c.lvl AND o.pos = c.pos AND o.n > 1
+    LEFT JOIN {tree} s ON s.grp = c.grp AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1)"""
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in fields) + ")"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '-') AS grp, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS changed FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n,
+    row_number() OVER (ORDER BY grp, doc_id, leaf) AS id FROM d),
+base AS (SELECT grp, 0 AS lvl, pos, leaf AS d, n FROM ranked),
+tree AS ({_TREE.format(leaves='base', tree='tree')}),
+subs AS (SELECT grp, d AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+ubase AS (SELECT '' AS grp, 0 AS lvl, pos, subroot AS d, n FROM subs),
+utree AS ({_TREE.format(leaves='ubase', tree='utree')}),
+climb AS (SELECT id, 0 AS lvl, pos, grp, '' AS proof, coalesce(changed, leaf) AS f FROM ranked UNION ALL {_CLIMB.format(climb='climb', tree='tree')}),
+mid AS (SELECT id, arg_max(proof, lvl) AS proof, arg_max(f, lvl) AS f FROM climb GROUP BY id),
+uclimb AS (SELECT m.id, 0 AS lvl, s.pos, '' AS grp, m.proof, m.f FROM mid m JOIN ranked r USING (id) JOIN subs s ON s.grp = r.grp
+    UNION ALL {_CLIMB.format(climb='uclimb', tree='utree')}),
+top AS (SELECT id, arg_max(proof, lvl) AS proof, arg_max(f, lvl) AS f FROM uclimb GROUP BY id)
+SELECT r.doc_id, r.leaf, s.subroot, u.d AS root, sha256(t.proof) AS proof_sha256, t.f AS folded_root, t.f = u.d AS verified
+FROM ranked r JOIN top t USING (id) JOIN subs s ON s.grp = r.grp JOIN utree u ON u.n = 1"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontaminate, jaccard, language, licenses, lines, quality, revisits, secrets, substrings
+from tidepanel.llm import bpe, decontaminate, jaccard, language, licenses, lines, merkle, quality, revisits, secrets, substrings
 from tidepanel.llm.frames import documents, materialise
 from tidepanel.llm.oracles import ORACLES
 
@@ -73,8 +73,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.digest([(F.col(c).cast("decimal(20,0)") + 1) if c == "n_chars" else F.col(c) for c in fields])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(docs, fields, "lang", "doc_id", {"doc_id": F.col("doc_id"), "tampered": F.when(tampered, changed)})
+    out = found.select(
+        "row.doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_line_dedup, op3_language_id, op4_license_scans, op5_quality_rules, op6_byte_bpe, op7_revisit_resolution,
-    op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup)}
+    op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op12_merkle_manifest)}
 
 __all__ = ["ORACLES", "QUERIES"]
