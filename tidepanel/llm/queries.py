@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontaminate, jaccard, language, licenses, lines, merkle, quality, revisits, secrets, substrings
+from tidepanel.llm import bpe, chat, decontaminate, jaccard, language, licenses, lines, merkle, quality, revisits, secrets, substrings
 from tidepanel.llm.frames import documents, materialise
 from tidepanel.llm.oracles import ORACLES
 
@@ -85,8 +85,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*extra.columns).unionByName(extra)
+    made = chat.windows(chat.tokens(turns, ranks, public_tokenizers.PATTERN))
+    return chat.digests(chat.read_back(made))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_line_dedup, op3_language_id, op4_license_scans, op5_quality_rules, op6_byte_bpe, op7_revisit_resolution,
-    op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op12_merkle_manifest)}
+    op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op12_merkle_manifest, op13_chat_formatting)}
 
 __all__ = ["ORACLES", "QUERIES"]
