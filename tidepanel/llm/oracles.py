@@ -79,3 +79,16 @@ uclimb AS (SELECT m.id, 0 AS lvl, s.pos, '' AS grp, m.proof, m.f FROM mid m JOIN
 top AS (SELECT id, arg_max(proof, lvl) AS proof, arg_max(f, lvl) AS f FROM uclimb GROUP BY id)
 SELECT r.doc_id, r.leaf, s.subroot, u.d AS root, sha256(t.proof) AS proof_sha256, t.f AS folded_root, t.f = u.d AS verified
 FROM ranked r JOIN top t USING (id) JOIN subs s ON s.grp = r.grp JOIN utree u ON u.n = 1"""
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, chat, decontaminate, jaccard, language, licenses, lines, merkle, quality, revisits, secrets, substrings
+from tidepanel.llm import bpe, chat, decontaminate, jaccard, language, licenses, lines, merkle, negatives, quality, revisits, secrets, substrings
 from tidepanel.llm.frames import documents, materialise
 from tidepanel.llm.oracles import ORACLES
 
@@ -73,6 +73,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(rows)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -96,6 +103,6 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_line_dedup, op3_language_id, op4_license_scans, op5_quality_rules, op6_byte_bpe, op7_revisit_resolution,
-    op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op12_merkle_manifest, op13_chat_formatting)}
+    op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op11_hard_negatives, op12_merkle_manifest, op13_chat_formatting)}
 
 __all__ = ["ORACLES", "QUERIES"]
