@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm import frames
 
 BLANKS = " \t\n\x0b\f\r"
+# Marks that end a sentence, and what may close after them.
+ENDING, CLOSING = ".!?:;\u2026\u3002\uFF01\uFF1F", "\"')]\u00BB\u201D\u2019"
 
 
 @dataclass(frozen=True)
@@ -41,25 +43,21 @@ def _column(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _count(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
-
-
-def _n_words(text: Column) -> Column:
-    """Words are runs of anything but blanks."""
-    trimmed = F.btrim(text, F.lit(BLANKS))
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "[\\x20\\x09-\\x0D]+", -1))).cast("long")
+    """Occurrences of the characters, by what replacing each takes from the bytes."""
+    found = [(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c)))) / F.lit(len(c.encode())) for c in characters]
+    return sum(found[1:], found[0]).cast("long")
 
 
 def _line_fails(line: Column, r: Rules) -> Column:
-    """Null-free verdict on one line that has a word."""
-    trimmed = F.btrim(line, F.lit(BLANKS))
-    n = _n_words(line)
-    ends = trimmed.rlike("[.!?:;\\u2026\\u3002\\uFF01\\uFF1F][\"')\\]\\u00BB\\u201D\\u2019]*$")
-    marks = _count(line, ".!?")
-    shouts, bars, symbols = _count(line, "!?"), _count(line, "|»›•"), _count(line, "#*$%&|<>")
+    """Null-free verdict on one line (``line``, ``trimmed``, ``words``) that has a word."""
+    trimmed, n = line["trimmed"], F.size(line["words"]).cast("long")
+    # Closing marks may follow the mark a line ends in.
+    ends = F.right(F.rtrim(trimmed, F.lit(CLOSING)), F.lit(1)).isin(*ENDING)
+    marks = _count(trimmed, ".!?")
+    shouts, bars, symbols = _count(trimmed, "!?"), _count(trimmed, "|»›•"), _count(trimmed, "#*$%&|<>")
     punctuation = (~ends & (marks * r.words_per_mark < n)) | (shouts * r.words_per_shout > n)
     navigation = (bars >= 2) & (bars * r.words_per_bar >= n)
-    phrase = F.lower(line).rlike("|".join(PHRASES)) & (n <= r.phrase_words)
+    phrase = (n <= r.phrase_words) & F.lower(trimmed).rlike("|".join(PHRASES))
     boilerplate = phrase | ((symbols >= 3) & (symbols * r.chars_per_symbol >= F.length(trimmed)))
     return punctuation | navigation | boilerplate
 
@@ -67,44 +65,52 @@ def _line_fails(line: Column, r: Rules) -> Column:
 def evaluate(df: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFrame:
     """Adds the counts, ``base_failed``, ``lost`` (share of word characters in failed lines), ``cleaned`` and ``kept`` to ``keep``.
 
-    ``df`` has the column ``text``. Null, empty and blank texts have no words, fail the base rule and are cleaned to an
-    empty text. Lines without a word never fail and stay. A line repeated in a text is a duplicate from its second
+    ``df`` has the column ``text``; other columns are not read. Null, empty and blank texts have no words, fail the base rule and are
+    cleaned to an empty text. Lines without a word never fail and stay. A line repeated in a text is a duplicate from its second
     occurrence on; duplicates are counted, not removed.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
-    df = df.select(*keep, body.alias("_text"))
-    trimmed = F.btrim("_text", F.lit(BLANKS))
-    empty = F.array().cast("array<string>")
-    df = _column(df, "_words", F.when(trimmed == "", empty).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+", -1)))
-    df = _column(df, "_lines", F.split("_text", "\n", -1))
-    # Three-word windows: hashes in text order, then sorted with their place; equal neighbours are repeats.
-    words = F.col("_words")
-    df = _column(df, "_sorted", F.sort_array(F.transform(
-        F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))))
+    keys = F.struct(*[frames.col(c) for c in keep])
+    df = df.select(keys.alias("_keep"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    empty, longs = F.array().cast("array<string>"), F.array().cast("array<bigint>")
+    # Words never cross a line, so each line is trimmed and split once and the text's words are those of its lines.
+    df = _column(df, "_trimmed", F.transform(F.split("_text", "\n", -1), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("trimmed"))))
+    df = _column(df, "_lines", F.transform("_trimmed", lambda x: F.struct(
+        x["line"].alias("line"), x["trimmed"].alias("trimmed"),
+        F.when(x["trimmed"] == "", empty).otherwise(F.split(x["trimmed"], "[\\x20\\x09-\\x0D]+", -1)).alias("words"))))
+    df = _column(df, "_hashes", F.transform(F.flatten(F.transform("_lines", lambda x: x["words"])), lambda w: F.xxhash64(w)))
+    # Three-word windows from their words' hashes. Only texts where one occurs twice sort them with their places; equal neighbours
+    # are repeats.
+    hashes, n = F.col("_hashes"), F.size("_hashes")
+    df = _column(df, "_windows", F.when(n < 3, longs).otherwise(F.transform(
+        F.slice("_hashes", 1, F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))))
+    df = _column(df, "_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform(
+        "_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     ranked = F.col("_sorted")
 
     def repeats(x: Column, j: Column) -> Column:
         return F.coalesce(F.get(ranked, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(ranked, j + 1)["h"] == x["h"], F.lit(False))
 
-    df = _column(df, "_places", F.sort_array(F.transform(F.filter(ranked, repeats), lambda x: x["i"])))
+    none = F.array().cast("array<int>")
+    df = _column(df, "_places", F.when(ranked.isNull(), none).otherwise(F.sort_array(F.transform(F.filter(ranked, repeats), lambda x: x["i"]))))
     places = F.col("_places")
-    df = _column(df, "_full", F.filter("_lines", lambda x: F.translate(x, BLANKS, "") != ""))
-    df = _column(df, "_kept", F.filter("_lines", lambda x: (F.translate(x, BLANKS, "") == "") | ~_line_fails(x, rules)))
-    word_chars = F.length(F.translate("_text", BLANKS, "")).cast("long")
+    full = F.transform(F.filter("_lines", lambda x: x["trimmed"] != ""), lambda x: x["line"])
+    df = _column(df, "_full", full)
+    kept = F.filter("_lines", lambda x: (x["trimmed"] == "") | ~_line_fails(x, rules))
+    df = _column(df, "_cleaned", F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    word_chars = lambda text: F.length(text) - _count(F.col(text), BLANKS)
     df = df.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        word_chars.alias("word_chars"),
+        *[F.col("_keep").getField(c).alias(c) for c in keep],
+        F.size("_hashes").cast("long").alias("n_words"),
+        word_chars("_text").alias("word_chars"),
         _count(F.col("_text"), "#*$%&|<>").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         F.aggregate(F.transform("_places", lambda p, j: F.least(F.lit(3), F.coalesce(F.get(places, j + 1) - p, F.lit(3)))),
                     F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
-        F.array_join("_kept", "\n").alias("cleaned"),
+        F.col("_cleaned").alias("cleaned"), word_chars("_cleaned").alias("_left"),
     )
-    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    left = F.length(F.translate("cleaned", BLANKS, ""))
-    df = df.withColumn("lost", F.when(F.col("word_chars") == 0, F.lit(1.0)).otherwise(1.0 - left / F.col("word_chars")))
+    n_words, chars = F.col("n_words"), F.col("word_chars")
+    df = df.withColumn("base_failed", (n_words < 50) | (100 * F.col("n_repeat_words") > 50 * n_words))
+    df = df.withColumn("lost", F.when(chars == 0, F.lit(1.0)).otherwise(1.0 - F.col("_left") / chars)).drop("_left")
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.max_lost))
 
 
