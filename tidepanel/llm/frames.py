@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of plans that nothing refers to any more; Spark deletes them once the driver has collected its garbage,
+    which may otherwise happen long after the last read."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(df: DataFrame, keep: list[str], made: str, work: Callable[[pa.RecordBatch], dict[str, object]]) -> DataFrame:
     """Adds the columns of the DDL string ``made``, computed per Arrow batch by ``work``, to the columns ``keep``."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -123,13 +123,12 @@ def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """Prefix entries ``token``, ``sig``, ``doc_id`` and ``place`` (size in the upper 32 bits, position below) of every set;
-    equal sets of a task give one."""
+    """Prefix entries ``token``, ``sig`` and ``place`` (size in the upper 32 bits, position below) of every set; equal sets of a
+    task give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for s in words.slices(batch.column(1), _CLASSES):
                 row, values, n, signature = shingle_sets(s)
                 fresh = np.zeros(len(n), bool)
@@ -143,10 +142,10 @@ def _entries(docs: DataFrame, frequent, percent: int) -> DataFrame:
                 position = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 keep = (position < n[row] - -(-percent * n[row] // 100) + enough(n[row])) & fresh[row]
                 row, values, position = row[keep], values[keep], position[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(_signed(signature[row])), pa.array(ids[s.low + row], pa.int64()),
-                                                  pa.array(n[row] << 32 | position)], names=["token", "sig", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(_signed(signature[row])), pa.array(n[row] << 32 | position)],
+                                                 names=["token", "sig", "place"])
 
-    return docs.mapInArrow(run, "token long, sig long, doc_id long, place long")
+    return docs.mapInArrow(run, "token long, sig long, place long")
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -156,34 +155,35 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def index_blocks(token, sig, doc, n, pos, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+def index_blocks(token, sig, n, pos, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
     """From the prefix entries of whole lists, for each block: leader, member, smaller size, whether the block is wide.
 
-    A set paired with itself stands for one of its shingles that is in any block.
+    Sets are ordered by signature everywhere, so a set leads the blocks that it comes first in. A set paired with itself stands
+    for one of its shingles that is in any block.
     """
-    order = np.lexsort((doc, sig, token))
-    token, sig, doc, n, pos = (x[order] for x in (token, sig, doc, n, pos))
+    order = np.lexsort((sig, token))
+    token, sig, n, pos = (x[order] for x in (token, sig, n, pos))
     once = _first_of(token, sig)
-    token, sig, doc, n, pos = (x[once] for x in (token, sig, doc, n, pos))
+    token, sig, n, pos = (x[once] for x in (token, sig, n, pos))
     starts = np.flatnonzero(_first_of(token)) if len(token) else np.empty(0, np.int64)
     several = np.repeat(np.diff(np.r_[starts, len(token)]) > 1, np.diff(np.r_[starts, len(token)]))
-    token, sig, doc, n, pos = (x[several] for x in (token, sig, doc, n, pos))
+    token, sig, n, pos = (x[several] for x in (token, sig, n, pos))
     # Linked sizes differ by a factor of 100/percent at most; classes are a little wider, so they are in one block of two classes.
     kind = np.floor(np.log(n) / np.log(100 / percent * 1.005)).astype(np.int64)
-    token, sig, doc, n, pos = (np.r_[x, x] for x in (token, sig, doc, n, pos))
+    token, sig, n, pos = (np.r_[x, x] for x in (token, sig, n, pos))
     lower = np.r_[np.ones(len(kind), bool), np.zeros(len(kind), bool)]
     kind = np.r_[kind, kind - 1]
     for _ in range(2):  # skip by position, then by what is left
         if not len(token):
             break
-        order = np.lexsort((doc, kind, token))
-        token, sig, doc, n, pos, kind, lower = (x[order] for x in (token, sig, doc, n, pos, kind, lower))
+        order = np.lexsort((sig, kind, token))
+        token, sig, n, pos, kind, lower = (x[order] for x in (token, sig, n, pos, kind, lower))
         starts = np.flatnonzero(_first_of(token, kind))
         sizes = np.diff(np.r_[starts, len(token)])
         smallest = np.repeat(np.minimum.reduceat(n, starts), sizes)
         partner = np.maximum(smallest, -(-percent * n // 100))
         keep = (n - pos + enough(n) > least_overlap(n, partner, percent)) & np.repeat((sizes > 1) & np.logical_or.reduceat(lower, starts), sizes)
-        token, sig, doc, n, pos, kind, lower = (x[keep] for x in (token, sig, doc, n, pos, kind, lower))
+        token, sig, n, pos, kind, lower = (x[keep] for x in (token, sig, n, pos, kind, lower))
     none = np.empty(0, np.int64)
     if not len(token):
         return none, none, none, np.empty(0, bool)
@@ -211,8 +211,8 @@ def _groups(entries: DataFrame, partitions: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches]
         if parts:
-            token, sig, doc, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-            rows = [pa.array(x) for x in index_blocks(token, sig, doc, place >> 32, place & 0xFFFFFFFF, percent)]
+            token, sig, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+            rows = [pa.array(x) for x in index_blocks(token, sig, place >> 32, place & 0xFFFFFFFF, percent)]
             table = pa.Table.from_arrays(rows, names=["leader", "member", "least", "wide"])
             yield from table.to_batches(max_chunksize=1 << 17)
 
@@ -341,6 +341,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     frequent = spark.sparkContext.broadcast(_bits(often))
     some = docs.where("doc_id is not null and text is not null")
     groups = frames.materialise(_groups(_entries(some, frequent, percent), partitions, percent))
+    frames.release(spark)      # the index is the largest shuffle and isn't read again
 
     classes = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     best = groups.groupBy(F.col("member").alias("sig")).agg(F.max(F.struct("shared", "leader")).alias("best"))
