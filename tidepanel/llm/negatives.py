@@ -285,7 +285,9 @@ def _search(index: DataFrame, asks: DataFrame, same: bool) -> DataFrame:
         if group:
             yield from answer(forest, kind, group)
 
-    return rows.select(*columns).repartition("slab").sortWithinPartitions("slab", "kind", "leaf").mapInArrow(run, schema)
+    # A fixed number of tasks: slabs are small in bytes and dear in time, so they aren't to be put together by their bytes.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.select(*columns).repartition(tasks, "slab").sortWithinPartitions("slab", "kind", "leaf").mapInArrow(run, schema)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
