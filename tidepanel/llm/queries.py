@@ -97,7 +97,8 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*extra.columns).unionByName(extra)
-    made = chat.windows(chat.tokens(turns, ranks, public_tokenizers.PATTERN))
+    # Written once: the ranges of the running sums are sampled from it.
+    made = chat.windows(materialise(chat.tokens(turns, ranks, public_tokenizers.PATTERN)))
     return chat.digests(chat.read_back(made))
 
 
