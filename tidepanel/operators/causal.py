@@ -1,8 +1,9 @@
 """Fixed-effects promotion estimates on the weekly panel.
 
 Two-way effects are removed without building dummies. With entity means taken out, the period effects solve a linear
-system of calendar size; conjugate gradients needs only products with that system, and one product is one Spark
-aggregation over (entity, period) counts. The driver holds one small vector per period, never panel rows.
+system of calendar size; conjugate gradients needs only products with that system. Cells meet by entity once, as one row with
+calendar-sized arrays; a product is one pass over these rows that shuffles totals per period. The driver holds one small
+vector per period, never panel rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import chi2_sf, normal_sf2, ratio, student_quantile, student_sf2
@@ -80,40 +82,65 @@ def _vector_table(spark, periods: list, values: np.ndarray, time: str, time_type
     return spark.createDataFrame([(p, *map(float, v)) for p, v in zip(periods, values)], schema)
 
 
-def _period_effects(df: DataFrame, cols: list[str], entity: str, time: str) -> tuple[list, np.ndarray]:
-    """Period effects of every column in a regression on entity and period effects, up to a constant."""
+def _entity_rows(df: DataFrame, cols: list[str], entity: str, time: str, periods: list) -> DataFrame:
+    """One row per entity: arrays of its periods' numbers, row counts and column sums, each at most as long as the calendar."""
     spark = df.sparkSession
-    time_type = df.schema[time].dataType
-    cells = cut_lineage(df.groupBy(entity, time).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in cols]))
-
-    def entity_free(table: DataFrame, names: list[str], weighted: bool) -> dict:
-        """Per period: total of the columns after removing entity means."""
-        total = (lambda c: F.sum(F.col("n") * F.col(c))) if weighted else F.sum
-        means = table.groupBy(entity).agg(*[(total(c) / F.sum("n")).alias(f"m_{c}") for c in names])
-        own = (lambda c: F.col("n") * F.col(c)) if weighted else F.col
-        rows = table.join(means, entity).groupBy(time).agg(
-            *[F.sum(own(c) - F.col("n") * F.col(f"m_{c}")).alias(c) for c in names]).collect()
-        return {r[time]: [r[c] for c in names] for r in rows}
-
-    rhs = entity_free(cells, cols, weighted=False)
-    periods = sorted(rhs)
-    b = np.array([rhs[p] for p in periods])
-    counts = cells.select(entity, time, "n")
-    names = [f"v{i}" for i in range(len(cols))]
-
-    def product(v: np.ndarray) -> np.ndarray:
-        vec = _vector_table(spark, periods, v, time, time_type, names)
-        out = entity_free(counts.join(F.broadcast(vec), time), names, weighted=True)
-        return np.array([out[p] for p in periods])
+    numbers = _vector_table(spark, periods, np.arange(len(periods))[:, None], time, df.schema[time].dataType, ["_t"])
+    cells = df.groupBy(entity, time).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in cols])
+    cell = F.struct(F.col("_t").cast("int").alias("t"), "n", F.array(*cols).alias("y"))
+    return cells.join(F.broadcast(numbers), time).groupBy(entity).agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(
+        F.col("cells.t").alias("t"), F.col("cells.n").alias("n"), F.flatten(F.col("cells.y")).alias("y"))
+
+
+def _free_totals(rows: DataFrame, k: int, values: np.ndarray | None, size: int) -> np.ndarray:
+    """Per period the totals of k columns after removing entity means: of the rows' own sums, or of ``values`` per period.
+
+    Each task adds up its entities' arrays and gives one row per period, so a call shuffles periods only.
+    """
+    sent = None if values is None else rows.sparkSession.sparkContext.broadcast(values)
+
+    def run(batches):
+        total = np.zeros((size, k))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, n = batch.column(0), batch.column(1).flatten().to_numpy()
+            lengths = np.asarray(t.value_lengths())
+            t, starts = t.flatten().to_numpy(), np.cumsum(lengths) - lengths
+            x = batch.column(2).flatten().to_numpy().reshape(-1, k) if sent is None else n[:, None] * sent.value[t]
+            mean = np.add.reduceat(x, starts) / np.add.reduceat(n, starts)[:, None]
+            x = x - n[:, None] * np.repeat(mean, lengths, axis=0)
+            for j in range(k):
+                total[:, j] += np.bincount(t, x[:, j], size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), *[pa.array(total[:, j]) for j in range(k)]],
+                                         names=["t", *[f"v{j}" for j in range(k)]])
+
+    names = [f"v{j}" for j in range(k)]
+    parts = rows.mapInArrow(run, "t int, " + ", ".join(f"{c} double" for c in names))
+    out = np.zeros((size, k))
+    for r in parts.groupBy("t").agg(*[F.sum(c).alias(c) for c in names]).collect():
+        out[r["t"]] = [r[c] for c in names]
+    if sent is not None:
+        sent.unpersist()
+    return out
 
+
+def _period_effects(df: DataFrame, cols: list[str], entity: str, time: str) -> tuple[list, np.ndarray]:
+    """Period effects of every column in a regression on entity and period effects, up to a constant.
+
+    The cells are brought together by entity once; every solver step then runs over one row per entity.
+    """
+    periods = sorted(r[0] for r in df.select(time).distinct().collect())
+    rows = cut_lineage(_entity_rows(df, cols, entity, time, periods))
+    k, size = len(cols), len(periods)
+    b = _free_totals(rows, k, None, size)
     x, r = np.zeros_like(b), b - b.mean(axis=0)
     d, rr = r.copy(), (r * r).sum(axis=0)
     stop = TOLERANCE ** 2 * np.maximum(rr, 1e-300)
     for _ in range(min(MAX_STEPS, 2 * len(periods))):
         if (rr <= stop).all():
             break
-        ad = product(d)
+        ad = _free_totals(rows, k, d, size)
         curve = (d * ad).sum(axis=0)
         step = np.where(curve > 0, rr / np.where(curve > 0, curve, 1.0), 0.0)
         x, r = x + step * d, r - step * ad
@@ -230,7 +257,7 @@ def two_way_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str, cl
     entity_key, time_key = entity, time
     if by:
         # Separate regressions: effects of different groups must not be shared.
-        data = data.withColumns({"_entity": F.concat_ws("|", by, entity), "_time": F.concat_ws("|", by, time)})
+        data = data.withColumns({"_entity": F.struct(by, entity), "_time": F.struct(by, time)})
         entity_key, time_key = "_entity", "_time"
     data = cut_lineage(data)
     residual = cut_lineage(within_two_way(data, ["_y", *xs], entity_key, time_key))
