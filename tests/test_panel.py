@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day, rows_by, sales
-from tidepanel.functions.calendar import easter_sundays, event_weeks, holiday_weeks
+from tidepanel.functions.calendar import easter, event_score, holiday_flags
 from tidepanel.operators import features, rollup, validate
 from tidepanel.schema import BASE_COLUMNS, FEATURE_TABLE_COLUMNS, WEEK_KEYS
 
@@ -63,24 +63,29 @@ def test_early_table_matches_hand_computed_statistics(daily):
     assert got[5].momentum == units[4] - units[3]
 
 
+def mondays(spark, *years):
+    days = [(d,) for y in years for k in range(54) if (d := dt.date(y, 1, 1) + dt.timedelta(days=7 * k - dt.date(y, 1, 1).weekday())).year <= y]
+    return spark.createDataFrame(days + [(None,)], "week date")
+
+
 def test_easter_and_holiday_weeks(spark):
-    easter = rows_by(easter_sundays(spark).filter("year IN (1954, 1981, 2022, 2023, 2024, 2049)"), "year")
-    assert [str(easter[y].easter) for y in (1954, 1981, 2022, 2023, 2024, 2049)] == [
-        "1954-04-18", "1981-04-19", "2022-04-17", "2023-04-09", "2024-03-31", "2049-04-18"]
-    weeks = rows_by(holiday_weeks(spark).filter("year(week) = 2022"), "week")
+    known = ["1818-03-22", "1899-04-02", "1954-04-18", "1981-04-19", "2022-04-17", "2023-04-09", "2024-03-31", "2049-04-18", "2100-03-28", "2285-03-22"]
+    years = spark.createDataFrame([(int(d[:4]),) for d in known], "y int")
+    assert [str(r[0]) for r in years.orderBy("y").select(easter("y")).collect()] == known
+    weeks = rows_by(holiday_flags(mondays(spark, 2022, 2100)), "week")
     assert weeks[day("2022-12-19")].is_holiday_peak == 1          # Christmas Eve to Sunday the 25th
-    assert weeks[day("2022-06-13")].is_holiday_peak == 0          # sixty days after Easter
-    assert day("2022-09-05") not in weeks
-    far = rows_by(easter_sundays(spark).filter("year IN (1818, 1899, 2100, 2285)"), "year")
-    assert [str(far[y].easter) for y in (1818, 1899, 2100, 2285)] == ["1818-03-22", "1899-04-02", "2100-03-28", "2285-03-22"]
-    assert holiday_weeks(spark).filter("week = DATE'2100-12-20'").first().is_holiday_peak == 1
+    assert weeks[day("2022-06-13")].is_holiday_peak == 0 and weeks[day("2022-06-13")].is_holiday_week == 1  # sixty days after Easter
+    assert weeks[day("2022-09-05")].is_holiday_week == 0 and weeks[None].is_holiday_week == 0
+    assert weeks[day("2022-12-26")].is_holiday_peak == 1          # New Year's Day of the next year, too
+    assert weeks[day("2100-12-20")].is_holiday_peak == 1
 
 
 def test_event_score_decays_with_distance(spark):
-    got = rows_by(event_weeks(spark).filter("year(week) = 2023"), "week")
+    got = rows_by(event_score(mondays(spark, 2023, 2024)), "week")
     assert got[day("2023-05-01")].event_score == 1.0
     assert got[day("2023-05-08")].event_score == pytest.approx(1 - 5 / 7 * 0.15)
-    assert day("2023-07-10") not in got
+    assert got[day("2023-07-10")].event_score == 0.0 and got[None].event_score == 0.0
+    assert got[day("2024-01-01")].event_score == pytest.approx(1 - 6 / 7 * 0.15)   # from the 26th of December
 
 
 def test_promo_recency_and_rate(spark):

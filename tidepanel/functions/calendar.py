@@ -1,8 +1,8 @@
-"""Calendar expressions and the fixed holiday calendar."""
+"""Calendar expressions: weeks, holidays, event dates and seasons, each from the date alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Public holidays by month-day and whether each is a retail peak.
 HOLIDAY_KINDS = [
@@ -27,68 +27,53 @@ SUMMER_MONTHS = [6, 7, 8]
 WINTER_MONTHS = [1, 2, 12]
 SCHOOL_BREAK_MONTHS = [7, 8]
 
-# Every year a date can have: the calendar covers any week and has a fixed size of some 130,000 rows.
-FIRST_YEAR, LAST_YEAR = 1, 9999
-
-
 def monday(day: Column | str) -> Column:
     """Monday that labels the left-closed week containing ``day``."""
     return F.trunc(F.col(day) if isinstance(day, str) else day, "week")
 
 
-def _years(spark: SparkSession) -> DataFrame:
-    return spark.range(FIRST_YEAR, LAST_YEAR + 1, numPartitions=1).select(F.col("id").cast("int").alias("year"))
-
-
-def easter_sundays(spark: SparkSession) -> DataFrame:
-    """(year, easter) by the Gauss rule of the Gregorian calendar; its two terms shift with the century."""
-    century = _years(spark).withColumn("c", F.expr("year div 100"))
-    terms = century.withColumns({"m": F.expr("(15 + c - c div 4 - (13 + 8 * c) div 25) % 30"), "n": F.expr("(4 + c - c div 4) % 7")})
-    moon = terms.withColumn("moon", F.expr("(19 * (year % 19) + m) % 30"))
-    shift = moon.withColumn("sun", F.expr("(2 * (year % 4) + 4 * (year % 7) + 6 * moon + n) % 7"))
-    late = F.expr("(moon = 29 AND sun = 6) OR (moon = 28 AND sun = 6 AND year % 19 > 10)")
-    offset = F.col("moon") + F.col("sun") - F.when(late, 7).otherwise(0)
-    return shift.select("year", F.date_add(F.make_date("year", F.lit(3), F.lit(22)), offset.cast("int")).alias("easter"))
-
+def easter(year: str) -> Column:
+    """Easter Sunday of a year column by the Gauss rule of the Gregorian calendar; its two terms shift with the century."""
+    c = f"({year} div 100)"
+    m = f"((15 + {c} - {c} div 4 - (13 + 8 * {c}) div 25) % 30)"
+    moon = f"((19 * ({year} % 19) + {m}) % 30)"
+    sun = f"((2 * ({year} % 4) + 4 * ({year} % 7) + 6 * {moon} + (4 + {c} - {c} div 4) % 7) % 7)"
+    late = f"({moon} = 29 AND {sun} = 6) OR ({moon} = 28 AND {sun} = 6 AND {year} % 19 > 10)"
+    return F.expr(f"date_add(make_date({year}, 3, 22), cast({moon} + {sun} - CASE WHEN {late} THEN 7 ELSE 0 END AS int))")
 
-def _fixed_dates(years: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
-    table = F.explode(F.array(*[F.struct(*[F.lit(int(x)).alias(n) for n, x in zip(("month", "day"), d.split("-"))], F.lit(k).alias("kind"))
-                                for d, k in entries]))
-    return years.select("year", table.alias("h")).select(
-        F.make_date("year", "h.month", "h.day").alias("day"), F.col("h.kind").alias("kind"))
 
-
-def holidays(spark: SparkSession) -> DataFrame:
-    """(day, kind) for every calendar year covered."""
-    moving = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(k).alias("kind")) for o, k in EASTER_KINDS]))
-    easter = easter_sundays(spark).select("easter", moving.alias("h")).select(
-        F.date_add("easter", F.col("h.o")).alias("day"), F.col("h.kind").alias("kind"))
-    return _fixed_dates(_years(spark), HOLIDAY_KINDS).unionByName(easter)
-
-
-def holiday_weeks(spark: SparkSession) -> DataFrame:
-    """(week, is_holiday_week, is_holiday_peak): only weeks holding a holiday.
-
-    Mapping each holiday to its Monday turns the date-in-week range test into an equality.
-    """
-    return holidays(spark).groupBy(monday("day").alias("week")).agg(
-        F.lit(1).alias("is_holiday_week"),
-        F.max(F.when(F.col("kind") == "peak", 1).otherwise(0)).alias("is_holiday_peak"))
+def _dates(entries: list[str], years: list[Column]) -> list[Column]:
+    return [F.make_date(y, *[F.lit(int(x)) for x in d.split("-")]) for d in entries for y in years]
 
 
-def event_weeks(spark: SparkSession) -> DataFrame:
-    """(week, event_score): Mondays within seven days of an event date, scored by the nearest one.
+def holiday_flags(df: DataFrame, week: str = "week") -> DataFrame:
+    """Add ``is_holiday_week`` and ``is_holiday_peak`` of the seven days from the Monday ``week``; 0 where it is missing.
 
-    Each event date can only reach its own Monday and the ones directly before and after, so the nearest-date
-    search is an explode of three candidates instead of a comparison of every week with every date.
+    Flags follow from the week alone, so there is no calendar to build or to join. Easter and what moves with it lie in one
+    year; only fixed dates can fall into the year that a week reaches.
     """
-    fixed = _fixed_dates(_years(spark), [(d, "event") for d in EVENT_DATES]).select("day")
-    days = fixed.unionByName(easter_sundays(spark).select(F.col("easter").alias("day")))
-    near = days.select("day", F.explode(F.array(*[F.date_add(monday("day"), o) for o in (-7, 0, 7)])).alias("week"))
-    gap = F.abs(F.datediff("week", "day"))
-    return (near.withColumn("gap", gap).filter(F.col("gap") <= EVENT_REACH_DAYS)
-            .groupBy("week").agg(F.min("gap").alias("gap"))
-            .select("week", (1.0 - F.col("gap") / EVENT_REACH_DAYS * EVENT_DECAY).alias("event_score")))
+    first, last = F.col(week), F.date_add(week, 6)
+    df = df.withColumns({"_year": F.year(first), "_next": F.year(last)}).withColumn("_easter", easter("_year"))
+
+    def any_of(kinds: tuple[str, ...]) -> Column:
+        days = _dates([d for d, k in HOLIDAY_KINDS if k in kinds], [F.col("_year"), F.col("_next")])
+        days += [F.date_add("_easter", o) for o, k in EASTER_KINDS if k in kinds]
+        found = F.lit(False)
+        for d in days:
+            found = found | d.between(first, last)
+        return F.coalesce(found, F.lit(False)).cast("int")
+
+    return df.withColumns({"is_holiday_week": any_of(("peak", "minor")), "is_holiday_peak": any_of(("peak",))}).drop("_year", "_next", "_easter")
+
+
+def event_score(df: DataFrame, week: str = "week") -> DataFrame:
+    """Add ``event_score``: by the nearest event date within seven days of the Monday ``week``, 0 without one."""
+    day = F.col(week)
+    df = df.withColumns({"_year": F.year(day), "_last": F.year(F.date_sub(day, EVENT_REACH_DAYS))}).withColumn("_easter", easter("_year"))
+    days = _dates(EVENT_DATES, [F.col("_year"), F.col("_last")]) + [F.col("_easter")]
+    gap = F.least(*[F.abs(F.datediff(day, d)) for d in days])
+    score = F.when(gap <= EVENT_REACH_DAYS, 1.0 - gap / EVENT_REACH_DAYS * EVENT_DECAY)
+    return df.withColumn("event_score", F.coalesce(score, F.lit(0.0))).drop("_year", "_last", "_easter")
 
 
 def calendar_flags(df: DataFrame, week: str = "week") -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.functions.calendar import SCHOOL_BREAK_MONTHS, event_weeks, monday
+from tidepanel.functions.calendar import SCHOOL_BREAK_MONTHS, event_score, monday
 from tidepanel.functions.numeric import ratio
 from tidepanel.operators.rollup import add_age_and_calendar, internal_columns, labelled_weeks, series_window
 from tidepanel.session import cut_lineage
@@ -56,13 +56,11 @@ def add_context(weekly: DataFrame) -> DataFrame:
     first_week = weekly.agg(F.min("week")).scalar()
     phase = 2 * math.pi * (F.dayofyear("week") - TEMP_PHASE_DAYS) / DAYS_PER_YEAR
     elapsed = F.datediff("week", first_week) / 7.0
-    out = (weekly.join(region_climate(weekly), "region", "left")
-           .join(F.broadcast(event_weeks(weekly.sparkSession)), "week", "left"))
+    out = event_score(weekly.join(region_climate(weekly), "region", "left"))
     return out.withColumns({
         "avg_temp": F.col("temp_base") + F.col("temp_amplitude") * F.sin(phase),
         "inflation_index": INFLATION_START * F.pow(F.lit(1 + INFLATION_RATE), elapsed / 52.0),
         "school_in_session": (~F.month("week").isin(SCHOOL_BREAK_MONTHS)).cast("int"),
-        "event_score": F.coalesce("event_score", F.lit(0.0)),
     }).drop("temp_base", "temp_amplitude")
 
 

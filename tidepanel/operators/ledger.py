@@ -55,7 +55,12 @@ def label_complete(week: Column | str, last_date: Column) -> Column:
 
 
 def build_ledger(eval_rows: DataFrame, predictions: dict[str, str], extra: list[str] = ()) -> DataFrame:
-    """Holdout ledger: evaluation rows already paired by key with one column per model."""
+    """Holdout ledger: evaluation rows already paired by key with one column per model; a key that occurs twice is an error."""
+    times = F.count(F.lit(1)).over(Window.partitionBy(*WEEK_KEYS))
+    key = F.concat_ws(", ", *[F.col(k).cast("string") for k in WEEK_KEYS])
+    problem = F.when(F.col("_times") > 1, F.raise_error(F.concat(F.lit("evaluation key occurs more than once: "), key)))
+    # As a filter the rule holds whichever columns are read afterwards.
+    eval_rows = eval_rows.withColumn("_times", times).filter(F.coalesce(problem.cast("boolean"), F.lit(True))).drop("_times")
     return to_long(eval_rows.withColumnRenamed(LABEL, "actual"), predictions, WEEK_KEYS + ["actual", *extra])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.calendar import calendar_flags, holiday_weeks, monday
+from tidepanel.functions.calendar import calendar_flags, holiday_flags, monday
 from tidepanel.schema import BASE_COLUMNS, DAYS_PER_WEEK, LABEL, SERIES
 
 ROLLING_WEEKS = 4
@@ -75,12 +75,6 @@ def lifecycle_stage(age: Column | str) -> Column:
     return (F.when(age <= GROWTH_UNTIL_WEEK, "Growth").when(age <= MATURE_UNTIL_WEEK, "Mature").otherwise("Decline"))
 
 
-def add_holiday_flags(df: DataFrame) -> DataFrame:
-    """Holiday flags by equality on the week; the calendar side is a fixed few thousand rows."""
-    flagged = df.join(F.broadcast(holiday_weeks(df.sparkSession)), "week", "left")
-    return flagged.fillna(0, ["is_holiday_week", "is_holiday_peak"])
-
-
 def lag_features(weekly: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Past-only lags, momentum and four-week statistics; the frame ends at the previous week."""
     w = series_window(keys)
@@ -111,7 +105,7 @@ def labelled_weeks(daily: DataFrame, keep_early_history: bool = False, extra: li
 
 def add_age_and_calendar(weekly: DataFrame, items: DataFrame) -> DataFrame:
     aged = add_sku_age(weekly, items).withColumn("lifecycle_stage", lifecycle_stage("sku_age"))
-    return add_holiday_flags(calendar_flags(aged))
+    return holiday_flags(calendar_flags(aged))
 
 
 def weekly_base(daily: DataFrame, keep_early_history: bool = False) -> DataFrame:

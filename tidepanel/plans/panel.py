@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.functions.calendar import calendar_flags
+from tidepanel.functions.calendar import calendar_flags, event_score, holiday_flags
 from tidepanel.operators import features, rollup
 from tidepanel.plans.oracle_base import BASE_SPEC, ENRICHED_SPEC, FEATURE_SPEC
 from tidepanel.plans.registry import query
@@ -71,7 +71,7 @@ SELECT sku, channel, region, week, is_holiday_week, is_holiday_peak FROM flagged
        KEY_SPEC + " is_holiday_week:i is_holiday_peak:i")
 def holiday_week_flags(spark, sf):
     weekly = rollup.weekly_rollup(tables.sales_daily(spark, sf)).select(*WEEK_KEYS)
-    return rollup.add_holiday_flags(weekly)
+    return holiday_flags(weekly)
 
 
 @query("lag_features", "SELECT sku, channel, region, week, lag_1, lag_2, momentum FROM lagged",
@@ -139,9 +139,7 @@ def context_features(spark, sf):
 @query("event_proximity", "SELECT * FROM event_scores", "week:d event_score:f")
 def event_proximity(spark, sf):
     weeks = rollup.labelled_weeks(tables.sales_daily(spark, sf)).select("week").distinct()
-    from tidepanel.functions.calendar import event_weeks
-    return (weeks.join(F.broadcast(event_weeks(spark)), "week", "left")
-            .select("week", F.coalesce("event_score", F.lit(0.0)).alias("event_score")))
+    return event_score(weeks)
 
 
 @query("category_trend", "SELECT * FROM trend", "category:s region:s week:d category_trend:f")
