@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from tidepanel.functions.numeric import forecast_metrics, ratio
 from tidepanel.operators import daily_grain, encode, launch, ledger, splits
 from tidepanel.operators.identifiers import dense_ids
 from tidepanel.schema import (CATEGORICAL_COLS, FEATURE_COLS, FEATURE_GROUPS, HISTORY_FEATURES, LABEL, SERIES, WEEK_KEYS)
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, side_by_side
 
 # Published model settings.
 SEED = 42
@@ -186,11 +187,17 @@ def fit_predict(train: DataFrame, val: DataFrame, spec: Spec, features: list[str
     return fit(train, spec, features, label, categorical).predict(val)
 
 
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, by column name."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_models(train: DataFrame, specs: list[Spec], features: list[str] = FEATURE_COLS) -> dict[str, FittedModel]:
     """Each model once on the same rows; every label must be there."""
     if train.filter(F.col(LABEL).isNull()).limit(1).count():
         raise ValueError("training labels must be complete")
-    return {s.name: fit(train, s, features) for s in specs}
+    fitted = side_by_side(train.sparkSession, [partial(fit, train, s, features) for s in specs])
+    return {s.name: model for s, model in zip(specs, fitted)}
 
 
 def predict_models(fitted: dict[str, FittedModel], df: DataFrame) -> DataFrame:
@@ -321,17 +328,16 @@ def launch_model(panel: DataFrame, held_out: DataFrame, spec: Spec, features: li
                  categorical: list[str] = CATEGORICAL_COLS) -> DataFrame:
     """Frozen at each launch Monday: fitted on labels known by then, without any held-out item."""
     held_out = cut_lineage(held_out)
-    out = None
-    for cutoff in _cutoffs(held_out):
+    def at(cutoff) -> DataFrame:
         day = F.lit(cutoff)
         train = launch.label_known(panel, day, held_out)
         if not train.limit(1).count():
             raise ValueError(f"no training labels available before {cutoff}")
         now = held_out.filter(F.trunc("first_seen", "week") == day).select("sku")
         part = fit_predict(train, panel.join(now, "sku", "left_semi"), spec, features, LABEL, categorical)
-        part = part.withColumn("train_cutoff", day)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return part.withColumn("train_cutoff", day)
+
+    return stacked(side_by_side(panel.sparkSession, [partial(at, c) for c in _cutoffs(held_out)]))
 
 
 def meta_learner(panel: DataFrame, held_out: DataFrame, spec: Spec, features: list[str]) -> DataFrame:
@@ -344,17 +350,17 @@ def zero_history(records: DataFrame, held_out: DataFrame, spec: Spec) -> DataFra
     records, held_out = cut_lineage(records), cut_lineage(held_out)
     days = sorted(r[0] for r in records.join(held_out.select("sku"), "sku", "left_semi").select(
         "week").distinct().collect())
-    donors = records.join(held_out.select("sku"), "sku", "left_anti")
-    out = None
-    for day in days:
+    donors = cut_lineage(records.join(held_out.select("sku"), "sku", "left_anti"))
+
+    def at(day) -> DataFrame:
         train = donors.filter(F.col("label_available_at") <= F.lit(day))
         if not train.limit(1).count():
             raise ValueError(f"no completed training launches before {day}")
         now = records.filter(F.col("week") == F.lit(day)).join(held_out.select("sku"), "sku", "left_semi")
-        part = fit_predict(train, now, spec, ZERO_HISTORY_FEATURES, "launch_units",
+        return fit_predict(train, now, spec, ZERO_HISTORY_FEATURES, "launch_units",
                            ["category", "segment", "brand", "channel", "region"]).withColumnRenamed("prediction", "pred_zero_model")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    return stacked(side_by_side(records.sparkSession, [partial(at, d) for d in days]))
 
 
 # ---------------------------------------------------------------- entity vectors
@@ -424,17 +430,14 @@ def run_cv(features: DataFrame, calendar: DataFrame, variants: dict[str, Predict
     placed = cut_lineage(splits.attach_folds(features, calendar).filter(~F.col("is_holdout")))
     if folds is None:
         folds = list(range(1, (calendar.agg(F.max("n_folds")).first()[0] or 0) + 1))
-    out = None
-    for fold in folds:
+    def part(fold: int, name: str) -> DataFrame:
         train = placed.filter(F.col("fold_id") < fold).drop("fold_id", "n_folds", "is_holdout")
         val = placed.filter(F.col("fold_id") == fold).drop("fold_id", "n_folds", "is_holdout")
-        for name, predict in variants.items():
-            if store is not None:
-                part = store.obtain(val, name, fold, lambda: predict(train, val))
-            else:
-                part = cut_lineage(ledger.prediction_rows(val, predict(train, val), name, fold))
-            out = part if out is None else out.unionByName(part)
-    return out
+        if store is not None:
+            return store.obtain(val, name, fold, lambda: variants[name](train, val))
+        return cut_lineage(ledger.prediction_rows(val, variants[name](train, val), name, fold))
+
+    return stacked(side_by_side(features.sparkSession, [partial(part, fold, name) for fold in folds for name in variants]))
 
 
 def ablation(long: DataFrame, full: str, groups: list[str]) -> DataFrame:
@@ -488,15 +491,16 @@ def _floored(df: DataFrame) -> DataFrame:
 def tune_fixed_origin(frame: DataFrame, calendar: DataFrame, candidates: dict = CANDIDATES, dev_folds: int = DEV_FOLDS) -> DataFrame:
     """Score every candidate on the first folds only, summed to weeks; later folds stay untouched."""
     placed = cut_lineage(splits.attach_folds(frame, calendar).filter(F.col("fold_id") <= dev_folds))
-    out = None
-    for name, (features, spec) in candidates.items():
-        for fold in range(1, dev_folds + 1):
-            train, val = placed.filter(F.col("fold_id") < fold), placed.filter(F.col("fold_id") == fold)
-            cols = DAILY_BASE if features == "base" else DAILY_ENHANCED
-            scored = _floored(fit_predict(train, val, spec, cols, "target_daily", SERIES))
-            part = cut_lineage(daily_grain.daily_to_weekly(scored)).withColumns(
-                {"candidate": F.lit(name), "feature_set": F.lit(features), "fold_id": F.lit(fold)})
-            out = part if out is None else out.unionByName(part)
+
+    def part(name: str, fold: int) -> DataFrame:
+        features, spec = candidates[name]
+        train, val = placed.filter(F.col("fold_id") < fold), placed.filter(F.col("fold_id") == fold)
+        cols = DAILY_BASE if features == "base" else DAILY_ENHANCED
+        scored = _floored(fit_predict(train, val, spec, cols, "target_daily", SERIES))
+        return cut_lineage(daily_grain.daily_to_weekly(scored)).withColumns(
+            {"candidate": F.lit(name), "feature_set": F.lit(features), "fold_id": F.lit(fold)})
+
+    out = stacked(side_by_side(frame.sparkSession, [partial(part, name, fold) for name in candidates for fold in range(1, dev_folds + 1)]))
     err, total = F.abs(F.col("actual") - F.col("prediction")), F.abs("actual")
     per_fold = out.groupBy("candidate", "feature_set", "fold_id").agg(
         F.sum(err).alias("_e"), F.sum(total).alias("_a"), ratio(F.sum(err), F.sum(total)).alias("_w"))
@@ -511,23 +515,21 @@ def grain_comparison(daily: DataFrame, features: DataFrame, calendar: DataFrame,
         *WEEK_KEYS, "units_sold", "lag_1", "lag_2", "rolling_mean_4", "rolling_std_4", LABEL)), calendar).filter(~F.col("is_holdout")))
     keys = weekly.select(*WEEK_KEYS, "fold_id")
     rolling = cut_lineage(daily_grain.rolling_panel(daily).join(keys, WEEK_KEYS))
-    out = None
-    for fold in folds:
-        def split(df):
-            return df.filter(F.col("fold_id") < fold), df.filter(F.col("fold_id") == fold)
-
-        def weekly_scores(cols, cats):
-            return _floored(fit_predict(*split(weekly), spec, cols, LABEL, cats)).withColumnRenamed(LABEL, "actual")
-
-        parts = {
-            "compact_weekly": weekly_scores(COMPACT_WEEKLY, SERIES),
-            "full_weekly": weekly_scores(FEATURE_COLS, CATEGORICAL_COLS),
-            "daily_then_sum": daily_grain.daily_to_weekly(_floored(fit_predict(*split(fixed), spec, DAILY_BASE, "target_daily", SERIES))),
-            "daily_rolling": daily_grain.daily_to_weekly(_floored(fit_predict(
-                *split(rolling), spec, DAILY_ROLLING, "units_sold_daily", SERIES)).withColumnRenamed("units_sold_daily", "target_daily")),
-        }
-        for name, scored in parts.items():
-            row = scored.agg(forecast_metrics("actual", "prediction")["WAPE"].alias("WAPE")).select(
-                F.lit(name).alias("model_id"), F.lit(fold).alias("fold_id"), "WAPE")
-            out = row if out is None else out.unionByName(row)
-    return out
+
+    def scores(table: DataFrame, fold: int, cols: list[str], label: str, cats: list[str]) -> DataFrame:
+        train, val = table.filter(F.col("fold_id") < fold), table.filter(F.col("fold_id") == fold)
+        return _floored(fit_predict(train, val, spec, cols, label, cats))
+
+    grains = {
+        "compact_weekly": lambda fold: scores(weekly, fold, COMPACT_WEEKLY, LABEL, SERIES).withColumnRenamed(LABEL, "actual"),
+        "full_weekly": lambda fold: scores(weekly, fold, FEATURE_COLS, LABEL, CATEGORICAL_COLS).withColumnRenamed(LABEL, "actual"),
+        "daily_then_sum": lambda fold: daily_grain.daily_to_weekly(scores(fixed, fold, DAILY_BASE, "target_daily", SERIES)),
+        "daily_rolling": lambda fold: daily_grain.daily_to_weekly(scores(rolling, fold, DAILY_ROLLING, "units_sold_daily", SERIES)
+                                                                  .withColumnRenamed("units_sold_daily", "target_daily")),
+    }
+
+    def row(fold: int, name: str) -> DataFrame:
+        return grains[name](fold).agg(forecast_metrics("actual", "prediction")["WAPE"].alias("WAPE")).select(
+            F.lit(name).alias("model_id"), F.lit(fold).alias("fold_id"), "WAPE")
+
+    return stacked(side_by_side(daily.sparkSession, [partial(row, fold, name) for fold in folds for name in grains]))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidepanel.operators import features, launch, ledger, models, rollup, splits
 from tidepanel.plans import scoring
 from tidepanel.plans.registry import query
 from tidepanel.schema import FEATURE_COLS, LABEL, WEEK_KEYS
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, side_by_side
 from tidepanel.sources import tables
 
 LAUNCH_HELD_OUT = 5
@@ -31,11 +33,10 @@ def _cv_rows(spark, sf):
 def _by_fold(spark, sf, work):
     """``work`` of every fold's training and validation rows."""
     placed, n_folds = _cv_rows(spark, sf)
-    out = None
-    for fold in range(1, n_folds + 1):
-        part = work(placed.filter(F.col("fold_id") < fold).drop("fold_id"), placed.filter(F.col("fold_id") == fold).drop("fold_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def part(fold):
+        return work(placed.filter(F.col("fold_id") < fold).drop("fold_id"), placed.filter(F.col("fold_id") == fold).drop("fold_id"))
+    return models.stacked(side_by_side(spark, [partial(part, fold) for fold in range(1, n_folds + 1)]))
 
 
 def _summary(scored):
