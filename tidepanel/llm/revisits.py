@@ -17,18 +17,20 @@ SLICES = 64
 # Fields that a not-modified response may update, in lower case.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "via", "warning"]
 # Query fields that do not select a page.
-TRACKING = "utm_[a-z]+|fbclid|gclid|ref|sessionid|sid"
+TRACKING = "utm_[a-z]+|fbclid|gclid|sessionid|sid"
 
 
 def canonical(url: Column | str) -> Column:
-    """Host in lower case without scheme, user, ``www.`` and port, path without index page and final slash, query fields
-    sorted and without tracking, no fragment."""
+    """Host in lower case without scheme, user, ``www.`` and the scheme's default port (80 without a scheme), path without index page
+    and final slash, query fields sorted and without tracking, no fragment. Null where nothing is left."""
     url = F.col(url) if isinstance(url, str) else url
+    port = F.when(F.trim(url).rlike("^[Hh][Tt][Tt][Pp][Ss]://"), ":443").otherwise(":80")
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/index\\.[a-z]+$", "/"), "/+$", "")
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, "^([^/?]*)", 1)), "^[^@]*@", ""), ":[0-9]*$", ""), "^www\\.", "")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, "^([^/?]*)", 1)), "^[^@]*@", ""), ":$", ""), "^www\\.", "")
+    host = F.when(F.endswith(host, port), F.left(host, F.length(host) - F.length(port))).otherwise(host)
     fields = F.array_sort(F.filter(F.split(F.regexp_extract(rest, "\\?(.*)$", 1), "&"), lambda f: (f != "") & ~f.rlike(f"^({TRACKING})(=|$)")))
-    return F.concat(host, path, F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise(F.lit("")))
+    return F.nullif(F.concat(host, path, F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise(F.lit(""))), F.lit(""))
 
 
 def _lowered(headers: Column) -> Column:
@@ -51,12 +53,16 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     ``digest``, ``headers`` (map). Full responses have status 200; a target must be strictly earlier, and of several at one
     time the greatest id counts. A revisit's first validator decides: entity tag, else modification date, else digest.
     Outcomes: resolved, mismatch (the target's validator differs or is missing), unvalidated (no validator), missing (no
-    target). Revisits without URL or time are missing. Headers are merged only when resolved, else those of the revisit.
+    target). Revisits without a time or without a URL (null, empty, blank or nothing but a scheme) are missing and a response
+    without URL is no target. Headers are merged only when resolved, else those of the revisit. Repeated revisits are rows of
+    their own; an empty table gives none. The result doesn't depend on ``slices``.
     """
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("at").isNotNull()
     base = records.select(F.col("record_id").cast("long"), "kind", canonical("url").alias("url"), F.col("at").cast("long").alias("at"), "etag", "last_modified", "digest",
                           _lowered(F.col("headers")).alias("headers"), full.alias("full"))
-    base = base.where(F.coalesce("full", F.lit(False)) | (F.col("kind") == "revisit"))
+    base = base.where((F.coalesce("full", F.lit(False)) & F.col("url").isNotNull()) | (F.col("kind") == "revisit"))
+    nowhere = base.where((F.col("kind") == "revisit") & F.col("url").isNull())
+    base = base.where(F.col("url").isNotNull())
     cuts = [c for c in (base.agg(F.percentile_approx("at", [k / slices for k in range(1, slices)], 1000)).first()[0] or []) if c is not None]
     place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]), lambda c: c <= F.col("at"))) if cuts else F.lit(0)
     base = base.withColumn("slice", place.cast("int"))
@@ -68,6 +74,8 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     before = F.max("latest").over(Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     carried = per_slice.select("url", "slice", before.alias("carried")).where("carried is not null")
     df = near.join(carried, ["url", "slice"], "left").withColumn("target", F.when(F.col("at").isNotNull(), F.coalesce("near", "carried")))
+    # Rows without URL have met no window: they would all have one key.
+    df = df.unionByName(nowhere.withColumn("target", F.lit(None).cast(df.schema["target"].dataType)), allowMissingColumns=True)
 
     validators = [("etag", _strong(F.col("etag")), _strong(F.col("target.etag"))), ("last-modified", F.trim("last_modified"), F.trim("target.last_modified")), ("digest", F.col("digest"), F.col("target.digest"))]
     used = F.coalesce(*[F.when(mine.isNotNull(), F.lit(name)) for name, mine, _ in validators])
