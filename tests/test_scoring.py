@@ -191,3 +191,19 @@ def test_paired_tests_on_known_differences(spark):
 def test_stable_rounds_and_renders(spark):
     got = stable(spark.createDataFrame([(1.23456749, day("2022-01-03"), 3)], "a double, b date, c int")).first()
     assert (got.a, got.b, got.c) == (1.234567, "2022-01-03", 3)
+
+
+def test_a_repeated_evaluation_key_is_an_error(spark):
+    rows = [("A", "c", "r", dt.date(2022, 1, 3), 5.0, 4.0), ("A", "c", "r", dt.date(2022, 1, 10), 6.0, 4.0)]
+    schema = "sku string, channel string, region string, week date, target_units_next_week double, p double"
+    schema = schema.replace("target_units_next_week", ledger.LABEL)
+    assert ledger.build_ledger(spark.createDataFrame(rows, schema), {"m": "p"}).count() == 2
+    with pytest.raises(Exception, match="more than once: A, c, r, 2022-01-03"):
+        ledger.build_ledger(spark.createDataFrame(rows + rows[:1], schema), {"m": "p"}).count()
+
+
+def test_side_by_side_keeps_order_and_raises(spark):
+    from tidepanel.session import side_by_side
+    assert side_by_side(spark, [lambda k=k: spark.range(k).count() for k in range(12)]) == list(range(12))
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1, lambda: 1 // 0])
