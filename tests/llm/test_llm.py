@@ -122,6 +122,50 @@ def test_bpe_equals_library(spark):
     assert {r.doc_id: bytes(r.bytes) for r in bpe.decode(df, ranks, ["doc_id"]).collect()} == {i: t.encode() for i, t in enumerate(texts)} | {99: b""}
 
 
+def test_short_lines_that_first_stand_apart_go_together(spark):
+    """Each line of the copy first stands in another document, each run of five words in document 3."""
+    docs = {1: "a b c", 2: "d e f", 3: "a b c\nd e f", 4: "a b c\nd e f", 5: "d e f\na b c"}
+    got = lines.clean(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {i: docs[i] for i in (1, 2, 3, 5)}
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Lines of one to six words in one order, so that patience diff aligns all common lines and all pairs are the whole truth."""
+    r, all_lines = random.Random(5), [" ".join(words(1000 + i, 1 + i % 6, 10**6)) for i in range(60)]
+    texts = {i: [x for x in all_lines if r.random() < 0.55] for i in range(120)}
+    texts |= {i: [x for k, x in enumerate(all_lines) if abs(k - i % 60) < 4] for i in range(120, 160)}
+    left = {}
+    for i, t in texts.items():
+        gone = {j for k in texts if k < i for j in lines.blocks(lines.patience(texts[k], t), [len(x.split()) for x in t])}
+        left[i] = "\n".join(x for j, x in enumerate(t) if j not in gone)
+    got = lines.dedup(spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string"))
+    assert {x.doc_id: x.cleaned for x in got.select("doc.doc_id", "cleaned").collect()} == left
+
+
+def test_run_hashes_against_plain_python():
+    """Equal runs have equal hashes, the second copy in a document another; every run of least weight is there."""
+    r = random.Random(6)
+    docs = [[r.randrange(4) for _ in range(r.randrange(12))] for _ in range(300)]
+    weight = {0: 1, 1: 2, 2: 5, 3: 3}
+    flat = [x for d in docs for x in d]
+    hashes, lengths = lines.run_hashes(np.array([hash((x, "h")) for x in flat]), np.array([weight[x] for x in flat]), np.array([len(d) for d in docs]))
+    names, at = {}, 0
+    for d, n in zip(docs, lengths, strict=True):
+        want, seen = [], {}
+        for i in range(len(d)):
+            for j in range(i + 1, len(d) + 1):
+                w = [weight[x] for x in d[i:j]]
+                if sum(w) >= 5 > min(sum(w[1:]), sum(w[:-1])):
+                    run = tuple(d[i:j])
+                    seen[run] = seen.get(run, 0) + 1
+                    want.append((run, seen[run]))
+        assert len(want) == n
+        for run, h in zip(want, hashes[at:at + n].tolist(), strict=True):
+            assert names.setdefault(run, h) == h
+        at += n
+    assert len(set(names.values())) == len(names)
+
+
 def test_patience_and_line_dedup(spark):
     assert lines.patience([1, 2, 3, 4, 5], [9, 2, 3, 8, 5]) == [(1, 1), (2, 2), (4, 4)]
     a = ["the first line of it here.", "second line that has words.", "a third line with five words.", "own line of the earlier one."]
@@ -133,7 +177,7 @@ def test_patience_and_line_dedup(spark):
 
 @pytest.mark.parametrize("holders", [2, 9, 1000])
 def test_frequent_lines_go_beside_a_rarer_one(spark, holders):
-    """Against every later document aligned with the first holder of each of its lines."""
+    """Against every later document aligned with the first holder of each of its lines, all of five words or more."""
     block, rarer = ["a block of lines that many have.", "its second line has words too."], "a rarer line that two others share."
     rows = [(i, [f"own line number {i} stands here.", *block]) for i in range(holders)]
     rows += [(2000, ["head of the other document here.", rarer]), (2001, [*block, "a line between the two of them.", rarer]), (2002, [rarer, *block])]

@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through the hashes of all lines they share. A pair is always (first document that has the
-line, later document), so a line adds one pair per later document, however many share it. The two line sequences, as hashes,
-are aligned with patience diff, with the longest common runs where no line is unique, and blocks of the alignment are deleted from the later document. Only hashes are
+Documents that overlap are found through the hashes of all lines they share, short lines joined with their neighbours to runs
+of the least weight that is deleted. A pair is always (first document that has the run, later document), so a run adds one pair
+per later document, however many share it. The two line sequences, as hashes, are aligned with patience diff, with the longest common runs where no line is unique, and blocks of the alignment are deleted from the later document. Only hashes are
 joined; texts move once, to have their lines cut.
 """
 
@@ -12,6 +12,7 @@ from bisect import bisect_left
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from tidepanel.llm.quality import BLANKS
 MIN_WORDS = 5
 #: Of the hashes that find equal runs; what they find is compared.
 _PRIME, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C1
+#: Tells equal runs of one document apart.
+_AGAIN = 0xC2B2AE3D27D4EB4F
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -136,9 +139,47 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return df.select("key", lines.alias("lines")).where(F.size("lines") > 0).dropDuplicates(["key"])
 
 
-def overlaps(table: DataFrame) -> DataFrame:
-    """Distinct pairs ``earlier``, ``later`` of keys, for each later document and the first holder of each of its lines."""
-    held = table.select("key", F.explode(F.array_distinct(F.transform("lines", lambda e: e["h"]))).alias("h"))
+def run_hashes(h: np.ndarray, words: np.ndarray, lengths: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shortest runs of at least ``least`` words that start or end at each line, and their number per document.
+
+    ``h`` and ``words`` are the lines of all documents one after the other, ``lengths`` the lines of each. Any line of a common
+    block of that weight lies in such a run inside the block. The second, third, ... equal run of a document has its own hash.
+    """
+    h, n = h.astype(np.uint64), len(h)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.cumsum(lengths)
+    last, first = np.repeat(ends, lengths), np.repeat(ends - lengths, lengths)
+    weight = np.r_[0, np.cumsum(words.astype(np.int64))]
+    stop = np.searchsorted(weight, weight[:-1] + least)                           # runs from each line on
+    start = np.searchsorted(weight, weight[1:] - least, "right") - 1              # runs up to each line
+    forth, back = stop <= last, start >= first
+    lo, hi = np.r_[np.arange(n)[forth], start[back]], np.r_[stop[forth], np.arange(1, n + 1)[back]]
+    lo, hi = np.divmod(np.unique(lo * (n + 1) + hi), n + 1)                       # each place once
+    of = doc[lo]
+    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
+    inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(h * power[:-1])]
+    runs = (sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)
+    order = np.lexsort((runs, of))
+    new = np.r_[True, (runs[order][1:] != runs[order][:-1]) | (of[order][1:] != of[order][:-1])] if len(runs) else np.zeros(0, bool)
+    nth = np.empty(len(runs), np.uint64)
+    nth[order] = np.arange(len(runs)) - np.maximum.accumulate(np.where(new, np.arange(len(runs)), 0))
+    return (runs + nth * np.uint64(_AGAIN)).astype(np.int64), np.bincount(of, minlength=len(lengths))
+
+
+def overlaps(table: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """Distinct pairs ``earlier``, ``later`` of keys, for each later document and the first holder of each of its runs.
+
+    Runs, not lines: short lines that first stand apart in several documents may first stand together in yet another one. A run
+    that a document holds twice leads to the first document that holds it twice as well.
+    """
+    def work(batch: pa.RecordBatch) -> dict[str, object]:
+        h, words = (batch.column(batch.schema.get_field_index(n)) for n in ("h", "words"))
+        runs, lengths = run_hashes(h.flatten().to_numpy(), words.flatten().to_numpy(), h.value_lengths().to_numpy(), least)
+        return {"runs": frames.list_array(pa.array(runs), lengths)}
+
+    slim = table.select("key", "lines.h", "lines.words")
+    held = frames.map_rows(slim, ["key"], "runs array<bigint>", work).select("key", F.explode("runs").alias("h"))
     shared = held.groupBy("h").agg(F.count("*").alias("df"), F.min("key").alias("earlier")).where("df > 1")
     return held.join(shared, "h").where("key.id > earlier.id").select("earlier", F.col("key").alias("later")).distinct()
 
@@ -148,7 +189,7 @@ def deletions(table: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     slim = table.select("key", F.transform("lines", lambda e: e["g"]).alias("g"))
     later = table.select(F.col("key").alias("later"), F.transform("lines", lambda e: e["g"]).alias("later_g"),
                          F.transform("lines", lambda e: e["no"]).alias("no"), F.transform("lines", lambda e: e["words"]).alias("words"))
-    pairs = overlaps(table).join(later, "later")
+    pairs = overlaps(table, least).join(later, "later")
     pairs = pairs.join(slim.select(F.col("key").alias("earlier"), F.col("g").alias("earlier_g")), "earlier")
 
     def align(batch: pa.RecordBatch) -> dict[str, object]:
