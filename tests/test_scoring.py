@@ -150,7 +150,7 @@ def test_dense_ids_follow_sort_order(spark):
 
 def test_cluster_bootstrap_brackets_the_point(spark):
     w = weeks(2)
-    rows = [(s, "c", "r", d, 1, m, 100.0, 100.0 - e * k) for k, s in enumerate("AB", 1) for d in w for m, e in (("a", 4.0), ("b", 20.0))]
+    rows = [(s, "c", "r", d, 1, m, 100.0, 100.0 - e * k) for k, s in enumerate("ABCDEFGHIJKL", 1) for d in w for m, e in (("a", 4.0), ("b", 20.0))]
     got = resample.cluster_bootstrap(spark.createDataFrame(rows, SCHEMA), "a", "b", WEEK_KEYS, reps=200).first()
     assert got.diff_b_minus_a == pytest.approx(0.24) and got.ci_low <= 0.24 <= got.ci_high
     assert got.n_series == 2 and got.n_boot == 200 and got.ci_excludes_0

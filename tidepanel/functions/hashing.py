@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, functions as F
 
+#: A 32-bit draw, as hex text, below entry k is at most k under a Poisson law of mean 1; larger values than 12 have no such draw.
+POISSON_BOUNDS = [f"{int(2**32 * sum(exp(-1) / factorial(i) for i in range(k + 1))):08x}" for k in range(12)]
+
 
 def md5_int(*parts: Column | str) -> Column:
     """First 32 bits of md5 over the '|'-joined parts, as a non-negative BIGINT."""
@@ -24,3 +29,12 @@ def draw_index(n: Column, *parts: Column | str) -> Column:
 def key_text(*cols: str) -> Column:
     """Keys as one string, dates in ISO form, NULL marked."""
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+
+
+def poisson_weight(*parts: Column | str) -> Column:
+    """Reproducible Poisson weight of mean 1, a function of the parts only; hex digits compare as the number does."""
+    h = F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+    weight = F.when(h < POISSON_BOUNDS[0], 0.0)
+    for k, bound in enumerate(POISSON_BOUNDS[1:], 1):
+        weight = weight.when(h < bound, float(k))
+    return weight.otherwise(float(len(POISSON_BOUNDS)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import chi2_sf, normal_sf2, ratio, student_quantile, student_sf2
 from tidepanel.operators.identifiers import dense_ids
+from tidepanel.operators.resample import weighted
 from tidepanel.operators.validate import count_if
 from tidepanel.schema import SERIES
 from tidepanel.session import cut_lineage
@@ -425,18 +426,16 @@ def was_exact_match(panel: DataFrame) -> DataFrame:
 
 
 def was_bootstrap(panel: DataFrame, reps: int = 200, seed: int = 42) -> DataFrame:
-    """Standard error of the switcher effect by resampling items. Items are reduced to their period cells first."""
-    from tidepanel.functions.hashing import draw_index
-    cells = cut_lineage(_was_cells(consecutive_periods(panel), ["sku"]))
-    items = cut_lineage(dense_ids(cells.select("sku").distinct(), ["sku"], "idx", start=0))
-    n = items.agg(F.count(F.lit(1))).scalar()
-    draws = items.select(F.col("idx").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select(
-        "rep", draw_index(n, F.lit(seed), F.col("rep"), F.col("j")).alias("idx"))
-    weights = draws.groupBy("rep", "idx").agg(F.count(F.lit(1)).cast("double").alias("w")).join(items, "idx").drop("idx")
+    """Standard error of the switcher effect by resampling items with Poisson weights.
+
+    An item is one row with its period cells; its weight is drawn beside them, so a task sends one row per repetition, period
+    and previous treatment and no item is looked up.
+    """
     measures = ["n_switch", "y_switch", "n_stay", "y_stay"]
-    resampled = cells.join(weights, "sku").groupBy("rep", "time_id", "d_prev").agg(
-        *[F.sum(F.col("w") * F.col(m)).alias(m) for m in measures])
-    reps_table = _was_estimate(resampled, ["rep"])
-    return reps_table.groupBy("specification").agg(
+    cells = _was_cells(consecutive_periods(panel), ["sku"])
+    items = cut_lineage(cells.groupBy("sku").agg(F.collect_list(F.struct("time_id", "d_prev", *measures)).alias("cells")))
+    drawn = weighted(items, ["sku"], reps, seed).select("rep", "w", F.explode("cells").alias("c")).select("rep", "w", "c.*")
+    resampled = drawn.groupBy("rep", "time_id", "d_prev").agg(*[F.sum(F.col("w") * F.col(m)).alias(m) for m in measures])
+    return _was_estimate(resampled, ["rep"]).groupBy("specification").agg(
         F.stddev_samp("log_coef").alias("se"), F.percentile("log_coef", F.lit(0.025)).alias("ci_low"),
         F.percentile("log_coef", F.lit(0.975)).alias("ci_high"), F.count("log_coef").alias("reps"))

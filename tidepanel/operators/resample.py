@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.hashing import draw_index
+from tidepanel.functions.hashing import draw_index, poisson_weight
 from tidepanel.functions.numeric import is_finite, ratio
 from tidepanel.operators.identifiers import dense_ids
 from tidepanel.schema import SERIES
@@ -14,21 +14,29 @@ LOW, HIGH = 0.025, 0.975
 
 
 def numbered(clusters: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """One row per cluster with its 0-based index, materialised: it is both drawn from and summed over."""
+    """One row per key with its 0-based index, materialised: it is both drawn from and summed over."""
     sums = clusters.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
     return cut_lineage(dense_ids(sums, keys, "idx", start=0).select("idx", *measures))
 
 
-def bootstrap_sums(numbered_clusters: DataFrame, measures: list[str], reps: int, seed: int) -> DataFrame:
-    """(rep, measures) after drawing as many clusters as there are, with replacement, ``reps`` times.
+def clustered(rows: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """One row per cluster with its summed measures, materialised: it gives the point and every repetition."""
+    return cut_lineage(rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures]))
 
-    Draw j of repetition r is a hash of (seed, r, j). Each cluster row stands for one draw position and unfolds into
-    its draws, the drawn index is looked up by equality, and sums combine map-side to one row per repetition.
+
+def weighted(clusters: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """Each cluster once per repetition that draws it, with ``rep`` and its Poisson weight ``w``.
+
+    Weights are hashes of (seed, repetition, cluster), so no draw is looked up, nothing is numbered, and a sum over the
+    result combines where the clusters lie.
     """
-    n = numbered_clusters.agg(F.count(F.lit(1))).scalar()
-    draws = numbered_clusters.select(F.col("idx").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    draws = draws.select("rep", draw_index(n, F.lit(seed), F.col("rep"), F.col("j")).alias("idx"))
-    return draws.join(numbered_clusters, "idx").groupBy("rep").agg(*[F.sum(m).alias(m) for m in measures])
+    copies = clusters.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    return copies.withColumn("w", poisson_weight(F.lit(seed), "rep", *keys)).filter("w > 0")
+
+
+def bootstrap_sums(clusters: DataFrame, keys: list[str], measures: list[str], reps: int, seed: int) -> DataFrame:
+    """(rep, measures) of ``reps`` Poisson resamples; a task sends one row per repetition whatever its clusters."""
+    return weighted(clusters, keys, reps, seed).groupBy("rep").agg(*[F.sum(F.col("w") * F.col(m)).alias(m) for m in measures])
 
 
 def _interval(diffs: DataFrame, by: list[str]) -> DataFrame:
@@ -46,7 +54,7 @@ def paired_errors(ledger: DataFrame, model_a: str, model_b: str, keys: list[str]
         F.max(F.when(F.col("model_id") == model_a, err)).alias("err_a"),
         F.max(F.when(F.col("model_id") == model_b, err)).alias("err_b"), F.count(F.lit(1)).alias("_n"))
     problem = F.when((F.col("_n") != 2) | F.col("err_a").isNull() | F.col("err_b").isNull(),
-                     F.raise_error(F.lit("models must be scored on identical keys")))
+                     F.raise_error(F.lit("a key lacks one of both predictions or has one twice")))
     # As a filter the rule holds whichever columns are read afterwards.
     return pair.filter(F.coalesce(problem.cast("boolean"), F.lit(True))).drop("_n")
 
@@ -55,8 +63,8 @@ def cluster_bootstrap(ledger: DataFrame, model_a: str, model_b: str, keys: list[
                       seed: int = 42, cluster: list[str] = SERIES) -> DataFrame:
     """Percentile interval of WAPE(b) - WAPE(a), resampling whole series."""
     measures = ["actual", "err_a", "err_b"]
-    rows = numbered(paired_errors(ledger, model_a, model_b, keys), cluster, measures)
-    sums = bootstrap_sums(rows, measures, reps, seed)
+    rows = clustered(paired_errors(ledger, model_a, model_b, keys), cluster, measures)
+    sums = bootstrap_sums(rows, cluster, measures, reps, seed)
     diffs = sums.select(ratio(F.col("err_b") - F.col("err_a"), F.col("actual")).alias("diff"))
     point = rows.agg(
         ratio(F.sum("err_a"), F.sum("actual")).alias("WAPE_a"), ratio(F.sum("err_b"), F.sum("actual")).alias("WAPE_b"),
@@ -76,7 +84,7 @@ def item_bootstrap(predictions: DataFrame, baseline: str, models: dict[str, str]
     errors = common.select("sku", F.abs(F.col(actual)).alias("actual"),
                            *[F.abs(F.col(actual) - F.col(c)).alias(f"err_{m}") for m, c in models.items()])
     measures = ["actual"] + [f"err_{m}" for m in models]
-    rows = numbered(errors, ["sku"], measures)
+    rows = clustered(errors, ["sku"], measures)
     others = [m for m in models if m != baseline]
 
     def differences(df: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def item_bootstrap(predictions: DataFrame, baseline: str, models: dict[str, str]
         return df.select(F.explode(items).alias("d")).select("d.*")
 
     point = differences(rows.agg(*[F.sum(m).alias(m) for m in measures])).withColumnRenamed("diff", "wape_difference")
-    sums = bootstrap_sums(rows, measures, reps, seed).filter("actual > 0")
+    sums = bootstrap_sums(rows, ["sku"], measures, reps, seed).filter("actual > 0")
     spread = _interval(differences(sums), ["comparison"])
     return point.join(spread, "comparison").withColumn("n_skus", rows.agg(F.count(F.lit(1))).scalar()).select(
         "comparison", "wape_difference", "ci_low", "ci_high", "n_skus", "valid_reps")

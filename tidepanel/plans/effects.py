@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.functions.hashing import POISSON_BOUNDS
 from tidepanel.operators import causal, features, ledger, resample, rollup, stats
 from tidepanel.plans import launches, scoring
 from tidepanel.plans.oracle_base import cte
@@ -227,11 +228,18 @@ def _hash(seed: int, *parts: str) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(parts)})), 1, 8)) AS BIGINT)"
 
 
-cte("was_draws", f"""
-SELECT rep, sku, count(*)::DOUBLE AS w FROM ({_draws('SELECT count(DISTINCT sku) FROM moves', 200, '',
-    _hash(42, 'r.rep', 'p.j') + ' % (SELECT count(DISTINCT sku) FROM moves)')}) d
-JOIN (SELECT sku, row_number() OVER (ORDER BY sku) - 1 AS idx FROM (SELECT DISTINCT sku FROM moves)) s USING (idx)
-GROUP BY rep, sku""")
+def _weight(seed: int, *parts: str) -> str:
+    """Poisson weight of mean 1 by the md5 of the parts."""
+    steps = " ".join(f"WHEN h < '{bound}' THEN {k}" for k, bound in enumerate(POISSON_BOUNDS))
+    return f"(SELECT CASE {steps} ELSE {len(POISSON_BOUNDS)} END::DOUBLE FROM (SELECT md5(concat_ws('|', {seed}, {', '.join(parts)})) AS h))"
+
+
+def _weighted(source: str, reps: int, *keys: str) -> str:
+    return f"""SELECT * FROM (SELECT s.*, rep, {_weight(42, 'rep', *keys)} AS w
+               FROM {source} s, (SELECT unnest(generate_series(1, {reps})) AS rep)) WHERE w > 0"""
+
+
+cte("was_draws", _weighted("(SELECT DISTINCT sku FROM moves)", 200, "sku"))
 
 
 @query("was_bootstrap", f"""
@@ -284,14 +292,13 @@ def paired_fold_tests(spark, sf):
 
 
 cte("series_errors", """
-SELECT row_number() OVER (ORDER BY sku, channel, region) - 1 AS idx, sum(actual) AS actual, sum(ea) AS err_a, sum(eb) AS err_b FROM (
+SELECT sku, channel, region, sum(actual) AS actual, sum(ea) AS err_a, sum(eb) AS err_b FROM (
   SELECT sku, channel, region, week, max(actual) AS actual, max(abs(prediction - actual)) FILTER (model_id = 'moving_avg_4') AS ea,
          max(abs(prediction - actual)) FILTER (model_id = 'naive') AS eb FROM hold_ledger WHERE label_complete GROUP BY ALL)
 GROUP BY sku, channel, region""")
 cte("series_boot", f"""
-SELECT rep, (sum(err_b) - sum(err_a)) / nullif(sum(actual), 0) AS diff
-FROM ({_draws('SELECT count(*) FROM series_errors', 2000, '', _hash(42, 'r.rep', 'p.j') + ' % (SELECT count(*) FROM series_errors)')}) d
-JOIN series_errors USING (idx) GROUP BY rep""")
+SELECT rep, (sum(w * err_b) - sum(w * err_a)) / nullif(sum(w * actual), 0) AS diff
+FROM ({_weighted('series_errors', 2000, 'sku', 'channel', 'region')}) GROUP BY rep""")
 
 
 @query("cluster_bootstrap", """
@@ -306,13 +313,12 @@ def cluster_bootstrap(spark, sf):
 
 
 cte("item_errors", """
-SELECT row_number() OVER (ORDER BY sku) - 1 AS idx, sum(abs(launch_units)) AS actual, sum(abs(launch_units - pred_category_mean)) AS em,
+SELECT sku, sum(abs(launch_units)) AS actual, sum(abs(launch_units - pred_category_mean)) AS em,
        sum(abs(launch_units - pred_zero_analog)) AS ea
 FROM launch_preds WHERE status = 'eligible' AND pred_category_mean IS NOT NULL AND pred_zero_analog IS NOT NULL GROUP BY sku""")
 cte("item_boot", f"""
-SELECT rep, (sum(em) - sum(ea)) / sum(actual) AS diff
-FROM ({_draws('SELECT count(*) FROM item_errors', 2000, '', _hash(42, 'r.rep', 'p.j') + ' % (SELECT count(*) FROM item_errors)')}) d
-JOIN item_errors USING (idx) GROUP BY rep HAVING sum(actual) > 0""")
+SELECT rep, (sum(w * em) - sum(w * ea)) / sum(w * actual) AS diff
+FROM ({_weighted('item_errors', 2000, 'sku')}) GROUP BY rep HAVING sum(w * actual) > 0""")
 
 
 @query("sku_bootstrap", """
