@@ -58,6 +58,72 @@ def test_analog_price_uses_days_before_the_cutoff_only(daily, spark):
     assert (got.sku, got.analog_sku, got.price_gap, got.cutoff) == ("T", "N", 2.0, day("2022-02-07"))
 
 
+def random_items(seed, n=150):
+    """sku, category, segment, pack, price, first day; few values, so that prices, days and tiers tie, and some are missing."""
+    r = np.random.default_rng(seed)
+    pick = lambda *v: v[int(r.integers(len(v)))]
+    return [(f"i{i:03d}", pick("k", "l", "m", None), pick("s", "t", None), pick("p", "q"), pick(None, *[float(x) for x in range(5, 30)] * 2),
+             day("2022-01-03") + dt.timedelta(days=int(r.integers(90)))) for i in range(n)]
+
+
+def nearest_by_hand(target, candidates, tiers):
+    """Least (tier, gap, item) over all candidates, given as (item, keys, price)."""
+    keys, price = target
+    found = [(min(t for t, names in enumerate([*tiers, ()]) if all(keys[k] is not None and keys[k] == other[k] for k in names)), abs(p - price), sku)
+             for sku, other, p in candidates if p is not None and price is not None]
+    return min(found, default=None)
+
+
+def test_tiered_analogs_against_all_pairs(spark):
+    rows = random_items(1)
+    frame = spark.createDataFrame(rows, "sku string, category string, segment string, pack_type string, price_unit double, first_seen date")
+    out = {r[0] for r in rows[::3]}
+    tiers = [(0, 1, 2), (0, 2), (0,)]
+    want = {}
+    for sku, *keys, price, first in rows:
+        pool = [(r[0], r[1:4], r[4]) for r in rows if r[0] not in out and r[5] < first]
+        if sku in out and (best := nearest_by_hand((keys, price), pool, tiers)):
+            want[sku] = best
+    got = launch.analog_tiered(frame, held(spark, *out)).collect()
+    assert {r.sku: (r.tier, r.price_gap, r.analog_sku) for r in got} == want and len(want) > 30 and len(got) == len(want)
+    assert launch.analog_tiered(frame, held(spark, *[r[0] for r in rows])).count() == 0
+
+
+def test_launch_analogs_and_pools_against_all_pairs(daily, spark):
+    """Prices change from day to day, so a candidate's mean depends on the cutoff."""
+    r, rows, known = np.random.default_rng(2), [], {}
+    for i in range(24):
+        first = day("2022-01-03") + dt.timedelta(days=int(r.integers(60)))
+        for d in sorted(r.choice(70, int(r.integers(1, 12)), replace=False)) if i % 3 else [0]:
+            when, price = first + dt.timedelta(days=int(d)), int(r.integers(5, 40))
+            rows += sales(sku=f"i{i:02d}", start=str(when), units=[1.0], price=price, category="kl"[i % 2], segment="st"[i // 2 % 2])
+            known.setdefault(f"i{i:02d}", []).append((when, float(price)))
+    facts = daily(rows)
+    keys = {r.sku: (r.category, r.segment) for r in features.item_table(facts).collect()}
+    first = {s: min(known[s]) for s in known}
+    out = {s for s in known if int(s[1:]) % 3 == 0}
+    held_out = spark.createDataFrame([(s, first[s][0]) for s in out], "sku string, first_seen date")
+    want = {}
+    for s in out:
+        cutoff = first[s][0] - dt.timedelta(days=first[s][0].weekday())
+        pool = [(c, keys[c], float(np.mean([p for d, p in known[c] if d < cutoff]))) for c in known if c not in out and min(known[c])[0] < cutoff]
+        if best := nearest_by_hand((keys[s], first[s][1]), pool, [(0, 1), (0,)]):
+            want[s] = (best[0], pytest.approx(best[1]), best[2], cutoff)
+    got = launch.analog_launch(facts, held_out).collect()
+    assert {r.sku: (r.tier, r.price_gap, r.analog_sku, r.cutoff) for r in got} == want and len(want) > 4
+
+    panel = facts.select("sku", F.trunc("date", "week").alias("week")).distinct()
+    weeks = {(s, d - dt.timedelta(days=d.weekday())) for s in known if s not in out for d, _ in known[s]}
+    pools = {}
+    for s in out:
+        cutoff = first[s][0] - dt.timedelta(days=first[s][0].weekday())
+        usable = [(c, w) for c, w in weeks if w + dt.timedelta(days=14) <= cutoff]
+        if usable:
+            pools[s] = (len(usable), len({c for c, _ in usable}), max(w for _, w in usable) + dt.timedelta(days=14))
+    got = launch.training_pool_sizes(panel, held_out).collect()
+    assert {r.sku: (r.train_rows, r.train_skus, r.train_label_available_max) for r in got} == pools and pools
+
+
 def test_trajectory_is_frozen_at_the_cutoff(spark):
     rows = [(s, "c", "r", day(f) + dt.timedelta(weeks=a), a, 1.0, 10.0 * a) for s, f, n in (("N", "2022-01-03", 9), ("T", "2022-02-07", 9)) for a in range(n)]
     panel = spark.createDataFrame(rows, "sku string, channel string, region string, week date, sku_age long, units_sold double, target_next_week double")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day, rows_by
+from tidepanel.functions.hashing import poisson_weight
 from tidepanel.functions.numeric import (beta_cdf, chi2_sf, normal_sf2, stable, student_quantile, student_sf2)
 from tidepanel.operators import ledger, quantiles, resample, splits, stats
 from tidepanel.operators.identifiers import dense_ids
@@ -150,10 +151,17 @@ def test_dense_ids_follow_sort_order(spark):
 
 def test_cluster_bootstrap_brackets_the_point(spark):
     w = weeks(2)
-    rows = [(s, "c", "r", d, 1, m, 100.0, 100.0 - e * k) for k, s in enumerate("ABCDEFGHIJKL", 1) for d in w for m, e in (("a", 4.0), ("b", 20.0))]
+    rows = [(s, "c", "r", d, 1, m, 100.0, 100.0 - e * k) for k, s in zip([1, 2] * 6, "ABCDEFGHIJKL") for d in w for m, e in (("a", 4.0), ("b", 20.0))]
     got = resample.cluster_bootstrap(spark.createDataFrame(rows, SCHEMA), "a", "b", WEEK_KEYS, reps=200).first()
     assert got.diff_b_minus_a == pytest.approx(0.24) and got.ci_low <= 0.24 <= got.ci_high
-    assert got.n_series == 2 and got.n_boot == 200 and got.ci_excludes_0
+    assert got.n_series == 12 and got.n_boot == 200 and got.ci_excludes_0
+
+
+def test_poisson_weights_follow_the_law(spark):
+    drawn = [r.w for r in spark.range(40_000).select(poisson_weight(F.lit(42), "id").alias("w")).collect()]
+    assert np.mean(drawn) == pytest.approx(1, abs=0.02) and np.var(drawn) == pytest.approx(1, abs=0.04)
+    for k in range(5):
+        assert np.mean(np.array(drawn) == k) == pytest.approx(np.exp(-1) / [1, 1, 2, 6, 24][k], abs=0.01)
 
 
 def test_item_bootstrap_is_exact_for_proportional_errors(spark):

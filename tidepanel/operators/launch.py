@@ -203,7 +203,7 @@ def analog_metadata(records: DataFrame, held_out: DataFrame) -> DataFrame:
 def chronological_eligibility(records: DataFrame, held_out: DataFrame, min_train_items: int = MIN_TRAIN_ITEMS) -> DataFrame:
     """Status of every launch from dates and counts alone, never from outcomes."""
     if min_train_items < 1:
-        raise ValueError("min_train_items must be positive")
+        raise ValueError(f"at least one earlier item is needed, not {min_train_items}")
     pool = eligible_donors(records, held_out)
     rows = records.groupBy("sku").agg(F.count(F.lit(1)).alias("evaluation_rows"))
     reserved = held_out.select("sku").withColumn("_reserved", F.lit(True))
@@ -215,48 +215,63 @@ def chronological_eligibility(records: DataFrame, held_out: DataFrame, min_train
 
 # ---------------------------------------------------------------- analogs by price
 
-def _for_each_target(candidates: DataFrame, targets: DataFrame, keep) -> DataFrame:
-    """Pair candidates with the targets they qualify for.
+def _nearest(candidates: DataFrame, targets: DataFrame, keys: list[list[str]], scope: list[str]) -> DataFrame:
+    """Per target: the candidate of the first tier that has one, then the nearest price, then item order.
 
-    ``targets`` is the caller's short held-out list. It rides along as one array value, the qualifying entries are
-    picked inside the row, and the following aggregate is combined map-side, so nothing beyond one winner per target
-    and task is shuffled.
+    Both sides have ``sku``, ``price_unit``, the keys and the columns ``scope``, in which they must agree. A copy of each row per tier, sorted
+    by price within tier, keys and scope, meets its neighbours in two running windows; equal prices are one candidate, so no
+    candidate is paired with a target that is not next to it. Rows without a price take no part, nor those without a key in its tier.
     """
-    listed = targets.agg(F.collect_list(F.struct(*targets.columns))).scalar()
-    return candidates.withColumn("_all", listed).withColumn("t", F.explode(F.filter("_all", keep))).drop("_all")
-
-
-def _tier(keys: list[list[str]]) -> Column:
-    """Index of the first key list on which candidate and target agree."""
-    tier = F.lit(len(keys))
-    for i in reversed(range(len(keys))):
-        same = F.lit(True)
-        for k in keys[i]:
-            same = same & (F.col(k) == F.col(f"t.{k}"))
-        tier = F.when(same, i).otherwise(tier)
-    return tier
-
-
-def _nearest(paired: DataFrame, keys: list[list[str]]) -> DataFrame:
-    gap = F.abs(F.col("price_unit") - F.col("t.price_unit"))
-    best = paired.groupBy(F.col("t.sku").alias("target")).agg(
-        F.min(F.struct(_tier(keys).alias("tier"), gap.alias("price_gap"), F.col("sku"))).alias("best"))
+    names = sorted({k for tier in keys for k in tier})
+    place = [*scope, "tier", *[f"k_{k}" for k in names]]
+
+    def by_tier(df: DataFrame) -> DataFrame:
+        tiers = F.array(*[F.struct(F.lit(i).alias("tier"), *[(F.col(k) if k in tier else F.lit("")).alias(f"k_{k}") for k in names])
+                          for i, tier in enumerate([*keys, []])])
+        return df.select("sku", "price_unit", *scope, F.inline(tiers)).dropna()
+
+    asks = by_tier(targets)
+    offers = by_tier(candidates).join(asks.select(*place).distinct(), place, "left_semi").groupBy(*place, "price_unit").agg(F.min("sku").alias("sku"))
+    nothing = F.lit(None)
+    both = offers.select(*place, "price_unit", F.struct("price_unit", "sku").alias("offer"), nothing.cast("string").alias("target")).unionByName(
+        asks.select(*place, "price_unit", nothing.alias("offer"), F.col("sku").alias("target")))
+    neighbours = F.array(*[F.last("offer", ignorenulls=True).over(Window.partitionBy(*place).orderBy(order).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)) for order in (F.asc("price_unit"), F.desc("price_unit"))])
+    found = both.select("target", "tier", "price_unit", neighbours.alias("offers")).filter("target IS NOT NULL")
+    found = found.select("target", "tier", "price_unit", F.explode("offers").alias("o")).filter("o IS NOT NULL")
+    gap = F.abs(F.col("o.price_unit") - F.col("price_unit"))
+    best = found.groupBy("target").agg(F.min(F.struct("tier", gap.alias("price_gap"), F.col("o.sku").alias("sku"))).alias("best"))
     return best.select(F.col("target").alias("sku"), F.col("best.sku").alias("analog_sku"), "best.tier", "best.price_gap")
 
 
 def analog_tiered(attrs: DataFrame, held_out: DataFrame) -> DataFrame:
-    """Nearest earlier-launched item: category+segment+pack, category+pack, category, any; then price, then item."""
+    """Nearest earlier-launched item: category+segment+pack, category+pack, category, any; then price, then item.
+
+    "Earlier" is an equality: the days before a target are cut into blocks of 1, 2, 4, ... days by the binary digits of their
+    number, and a candidate is in one block of each length.
+    """
     targets = attrs.join(held_out.select("sku"), "sku", "left_semi")
     candidates = attrs.join(held_out.select("sku"), "sku", "left_anti")
-    first = F.col("first_seen")
-    paired = _for_each_target(candidates, targets, lambda t: first < t["first_seen"])
-    return _nearest(paired, [["category", "segment", "pack_type"], ["category", "pack_type"], ["category"]])
+    day = F.datediff("first_seen", candidates.agg(F.min("first_seen")).scalar())
+    targets = targets.withColumn("_day", day).filter("_day > 0")
+    top = F.floor(F.log2(targets.agg(F.max("_day")).scalar())).cast("int")
+    block = F.call_function("shiftright", F.col("_day"), F.col("_digit"))
+
+    def by_digit(df: DataFrame, odd: int) -> DataFrame:
+        return df.withColumn("_digit", F.explode(F.sequence(F.lit(0), top))).filter(block % 2 == odd)
+
+    # A target's block at a digit that is set is the even one before it; odd blocks are never asked for.
+    targets = by_digit(targets, 1).withColumn("_block", block - 1)
+    candidates = by_digit(candidates.withColumn("_day", day), 0).withColumn("_block", block)
+    return _nearest(candidates, targets, [["category", "segment", "pack_type"], ["category", "pack_type"], ["category"]], ["_digit", "_block"])
 
 
 def analog_launch(daily: DataFrame, held_out: DataFrame) -> DataFrame:
     """Analog from what was known at the target's launch Monday: candidate prices average only earlier days.
 
-    The target's price is its first-day price. Pack type takes no part, it is not an item attribute.
+    The target's price is its first-day price. Pack type takes no part, it is not an item attribute. Candidates are reduced to
+    running sums per item and week first; a state holds until the item's next week and is copied to the Mondays on which a
+    target asks, whatever the number of targets.
     """
     items = item_table(daily)
     first_day = daily.join(held_out.select("sku", "first_seen"), "sku").filter(
@@ -264,13 +279,17 @@ def analog_launch(daily: DataFrame, held_out: DataFrame) -> DataFrame:
     prices = first_day.groupBy("sku").agg(F.avg("price_unit").alias("price_unit"))
     targets = items.join(prices, "sku").select(
         "sku", "category", "segment", "price_unit", F.trunc("first_seen", "week").alias("cutoff"))
-    rows = daily.select("sku", "date", F.col("price_unit").alias("_price"), "category", "segment").join(
-        held_out.select("sku"), "sku", "left_anti")
-    day = F.col("date")
-    before = _for_each_target(rows, targets, lambda t: day < t["cutoff"])
-    known = before.groupBy("t", "sku").agg(F.avg("_price").alias("price_unit"), F.min("category").alias("category"),
-                                           F.min("segment").alias("segment"))
-    best = _nearest(known, [["category", "segment"], ["category"]])
+    weekly = daily.join(held_out.select("sku"), "sku", "left_anti").groupBy("sku", F.date_add(F.trunc("date", "week"), 7).alias("known")).agg(
+        F.sum("price_unit").alias("_sum"), F.count("price_unit").alias("_n"), F.min("category").alias("category"), F.min("segment").alias("segment"))
+    by_week = Window.partitionBy("sku").orderBy("known")
+    so_far = by_week.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mondays = targets.agg(F.collect_set("cutoff")).scalar()            # at most the weeks of the calendar
+    states = weekly.select(
+        "sku", "known", F.lead("known").over(by_week).alias("_until"), ratio(F.sum("_sum").over(so_far), F.sum("_n").over(so_far)).alias("price_unit"),
+        F.min("category").over(so_far).alias("category"), F.min("segment").over(so_far).alias("segment")).withColumn("_mondays", mondays)
+    holds = F.filter("_mondays", lambda m: (m >= F.col("known")) & (F.col("_until").isNull() | (m < F.col("_until"))))
+    candidates = states.withColumn("cutoff", F.explode(holds))
+    best = _nearest(candidates, targets, [["category", "segment"], ["category"]], ["cutoff"])
     return best.join(targets.select("sku", "cutoff"), "sku")
 
 
@@ -281,18 +300,20 @@ def label_known(panel: DataFrame, cutoff: Column, held_out: DataFrame) -> DataFr
 
 
 def training_pool_sizes(panel: DataFrame, held_out: DataFrame) -> DataFrame:
-    """Per held-out item: rows, items and latest label of the training data available at its launch Monday."""
-    targets = held_out.select("sku", F.trunc("first_seen", "week").alias("cutoff"))
-    rows = panel.join(held_out.select("sku"), "sku", "left_anti").groupBy("week", "sku").agg(
-        F.count(F.lit(1)).alias("n"))
-    available = F.date_add("week", LABEL_DELAY_DAYS)
-    paired = _for_each_target(rows, targets, lambda t: available <= t["cutoff"])
-    per_item = paired.groupBy("t", "sku").agg(F.sum("n").alias("n"), F.max("week").alias("w"))
-    pools = per_item.groupBy("t").agg(
-        F.sum("n").alias("train_rows"), F.count(F.lit(1)).alias("train_skus"),
-        F.date_add(F.max("w"), LABEL_DELAY_DAYS).alias("train_label_available_max"))
-    return pools.select(F.col("t.sku").alias("sku"), F.col("t.cutoff").alias("cutoff"), "train_rows", "train_skus",
-                        "train_label_available_max")
+    """Per held-out item: rows, items and latest label of the training data available at its launch Monday.
+
+    An item counts from its first week on, so weekly totals add up.
+    """
+    targets = held_out.select("sku", F.trunc("first_seen", "week").alias("week"))
+    rows = panel.join(held_out.select("sku"), "sku", "left_anti").groupBy("sku", "week").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumns({"_new": F.row_number().over(Window.partitionBy("sku").orderBy("week")) == 1,
+                             "label_available_at": F.date_add("week", LABEL_DELAY_DAYS)})
+    w = known_window([])
+    state = {"_rows": F.sum("n"), "_items": F.sum(F.col("_new").cast("int")), "_last": F.max("label_available_at")}
+    running = {"train_rows": F.sum("_rows").over(w), "train_skus": F.sum("_items").over(w), "train_label_available_max": F.max("_last").over(w)}
+    pools = _known_by(rows, targets, [], state, running).filter("train_rows > 0")
+    return targets.withColumnRenamed("week", "cutoff").join(pools.withColumnRenamed("day", "cutoff"), "cutoff").select(
+        "sku", "cutoff", *running)
 
 
 def analog_trajectory(panel: DataFrame, analogs: DataFrame) -> DataFrame:
