@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import day, rows_by
 from tidepanel.operators import causal
@@ -103,6 +104,27 @@ def test_single_cluster_falls_back_to_robust_errors(spark):
     assert fit.n_clusters == 1 and fit.se("promotion_flag") > 0
 
 
+def test_a_category_that_cannot_be_estimated_leaves_the_others(spark):
+    """One region only: its region column is left out. No promotion, or two rows: a row with the reason."""
+    r, rows = np.random.default_rng(9), []
+    for cat, regions, skus, n in (("full", ("r1", "r2"), 4, 20), ("one region", ("r1",), 4, 20), ("no promotion", ("r1", "r2"), 3, 15), ("tiny", ("r1",), 1, 2)):
+        for k in range(skus):
+            for region in regions:
+                for t in range(n):
+                    promo = 0 if cat == "no promotion" else int(r.integers(2)) if cat != "tiny" else t
+                    rows.append((cat, f"{cat}{k}", "c", region, week(t), float(np.expm1(2 + 0.3 * promo + r.normal() / 10)), promo, float(r.integers(5, 9))))
+    schema = "category string, sku string, channel string, region string, week date, units_sold double, promotion_flag int, price_unit double"
+    df = spark.createDataFrame(rows, schema)
+    got = {x.category: x for x in causal.uplift_table(spark, causal.promotion_effect(df, by="category"), "category").collect()}
+    for cat in ("full", "one region"):
+        alone = causal.promotion_effect(df.filter(F.col("category") == cat))[()]
+        assert [got[cat].coef, got[cat].se] == pytest.approx([alone.value("promotion_flag"), alone.se("promotion_flag")]) and got[cat].error is None
+    assert got["no promotion"].coef is None and "vary" in got["no promotion"].error and got["no promotion"].n_obs == 90
+    assert got["tiny"].uplift_pct is None and got["tiny"].error
+    with pytest.raises(ValueError, match="promotion_flag"):
+        causal.promotion_effect(df.filter("category = 'no promotion'"))
+
+
 def test_distributed_lag_recovers_known_effects(spark):
     panel = causal.group_panel(frame(spark, made(10, 20, 0.4, lag=0.1)))
     fit = causal.distributed_lag(panel, lags=1, leads=1)

@@ -24,6 +24,8 @@ from tidepanel.session import cut_lineage
 #: Relative residual at which the solver stops, and the largest that it may end with when its steps are used up.
 TOLERANCE, ACCEPTED = 1e-12, 1e-9
 MAX_STEPS = 200
+#: Share of a column's spread that effects and earlier columns must leave for it to have a coefficient.
+LEFT_OVER = 1e-10
 EXPORT_COLUMNS = ["group_id", "time_id", "log_units", "promotion_flag", "price_unit", "cluster_id", "group_label", "sku"]
 
 
@@ -38,13 +40,13 @@ def group_panel(df: DataFrame, strict: bool = True) -> DataFrame:
     required = [*SERIES, "week", "units_sold", "promotion_flag"]
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"missing required columns: {missing}")
+        raise ValueError(f"the panel lacks {', '.join(missing)}")
     if strict:
         # As a filter, before the joins: a row with a missing key would not reach a later check.
         null_found = F.lit(False)
         for c in required:
             null_found = null_found | F.col(c).isNull()
-        df = df.filter(F.when(null_found, F.raise_error(F.lit("required panel columns must not contain missing values"))
+        df = df.filter(F.when(null_found, F.raise_error(F.lit("a key, treatment or outcome of the panel has missing values"))
                               .cast("boolean")).otherwise(True))
     # Read by the three id tables and the panel itself.
     labelled = cut_lineage(df.withColumn("group_label", F.concat_ws("|", *SERIES)))
@@ -67,7 +69,7 @@ def lead_lag_panel(panel: DataFrame, lags: int = 4, leads: int = 2) -> tuple[Dat
     """Current, past and future promotion state per group; rows without the full span are dropped."""
     for name, v in (("lags", lags), ("leads", leads)):
         if isinstance(v, bool) or not isinstance(v, int) or v < 0:
-            raise ValueError(f"{name} must be a non-negative integer")
+            raise ValueError(f"{name}: a whole number from 0 on is expected, not {v!r}")
     w = Window.partitionBy("group_id").orderBy("time_id")
     terms = {"promo_current": F.col("promotion_flag").cast("double")}
     terms |= {f"promo_lag_{k}": F.lag("promotion_flag", k).over(w).cast("double") for k in range(1, lags + 1)}
@@ -222,6 +224,18 @@ def _solve(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inverse @ xy, inverse
 
 
+def _identified(gram: np.ndarray, least: list[float]) -> list[int]:
+    """Places of the columns that still vary beside the effects and the identified columns before them."""
+    kept: list[int] = []
+    for j, enough in enumerate(least):
+        left = gram[j, j]
+        if kept:
+            left -= gram[j, kept] @ _solve(gram[np.ix_([*kept, j], [*kept, j])])[0]
+        if left > enough:
+            kept.append(j)
+    return kept
+
+
 def _score_sums(residual: DataFrame, names: list[str], fits: dict, by: list[str], cluster: str | None) -> dict:
     """Sum over clusters of the outer products of score sums, one k x k matrix per group.
 
@@ -250,7 +264,9 @@ def _score_sums(residual: DataFrame, names: list[str], fits: dict, by: list[str]
 def two_way_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str, cluster: str, by: str | None = None) -> dict:
     """OLS with entity and period effects and clustered errors; with ``by``, one regression per value in the same jobs.
 
-    Rows with a missing regressor are dropped. A group with a single cluster gets heteroskedasticity-robust errors.
+    Rows with a missing regressor are dropped. A group with a single cluster gets heteroskedasticity-robust errors. A column that
+    does not vary beside the effects and the columns before it has no coefficient (NaN) in that group and ends no other group;
+    without ``by`` it is an error. Too few rows for an error variance leave the covariance NaN.
     """
     keep = [c for c in dict.fromkeys([*([by] if by else []), entity, time, cluster])]
     data = df.select(*keep, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs]).dropna()
@@ -268,7 +284,22 @@ def two_way_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str, cl
     aggs = _gram_columns(cols) + counts
     rows = (residual.groupBy(*keys).agg(*aggs) if keys else residual.agg(*aggs)).collect()
     info = {tuple(r[b] for b in keys): r for r in rows}
-    solved = {key: _solve(_gram(r, len(cols))) for key, r in info.items()}
+    # The sum of squares stands for the rounding of a constant.
+    spreads = [(LEFT_OVER * F.var_pop(x) * F.count(F.lit(1)) + LEFT_OVER ** 2 * F.sum(F.col(x) * F.col(x))).alias(x) for x in xs]
+    raw = (data.groupBy(*keys).agg(*spreads) if keys else data.agg(*spreads)).collect()
+    # All groups are solved at once, so what rounding leaves follows the widest of them.
+    rounding = {x: LEFT_OVER * max((r[x] or 0.0 for r in raw), default=0.0) for x in xs}
+    least = {tuple(r[b] for b in keys): [(r[x] or 0.0) + rounding[x] for x in xs] for r in raw}
+    kept, solved = {}, {}
+    for key, r in info.items():
+        gram = _gram(r, len(cols))
+        kept[key] = _identified(gram, least[key])
+        if not by and len(kept[key]) < len(xs):
+            raise ValueError(f"no variation left beside the effects in: {', '.join(x for i, x in enumerate(xs) if i not in kept[key])}")
+        coef, inverse = np.zeros(len(xs)), np.zeros((len(xs), len(xs)))
+        if kept[key]:
+            coef[kept[key]], inverse[np.ix_(kept[key], kept[key])] = _solve(gram[np.ix_([*kept[key], len(xs)], [*kept[key], len(xs)])])
+        solved[key] = coef, inverse
     clustered = {k: v for k, v in solved.items() if info[k]["nc"] > 1}
     single = {k: v for k, v in solved.items() if info[k]["nc"] <= 1}
     meat = _score_sums(residual, xs, clustered, keys, cluster) if clustered else {}
@@ -277,8 +308,10 @@ def two_way_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str, cl
     fits = {}
     for key, r in info.items():
         coef, inverse = solved[key]
-        dof = r["n"] - len(xs) - (r["ne"] + r["nt"] - 1)
-        cov = inverse @ meat[key] @ inverse * (r["n"] / dof)
+        dof = r["n"] - len(kept[key]) - (r["ne"] + r["nt"] - 1)
+        cov = inverse @ meat[key] @ inverse * (r["n"] / dof if dof > 0 else np.nan)
+        gone = [i for i in range(len(xs)) if i not in kept[key]]
+        coef[gone] = cov[gone, :] = cov[:, gone] = np.nan
         fits[key] = Fit(xs, coef, cov, r["n"], dof, r["nc"])
     return fits
 
@@ -313,16 +346,24 @@ def fit_table(spark, fit: Fit) -> DataFrame:
 def uplift_summary(fit: Fit, term: str = "promotion_flag") -> dict:
     """Log-linear coefficient as a percentage with its interval."""
     _, c, _, _, p, lo, hi = next(r for r in fit.rows() if r[0] == term)
-    return {"uplift_pct": math.expm1(c) * 100, "ci_low_pct": math.expm1(lo) * 100, "ci_high_pct": math.expm1(hi) * 100,
-            "p_value": p, "n_obs": fit.n_obs}
+    with np.errstate(over="ignore"):
+        uplift, low, high = (float(np.expm1(x) * 100) for x in (c, lo, hi))
+    return {"uplift_pct": uplift, "ci_low_pct": low, "ci_high_pct": high, "p_value": p, "n_obs": fit.n_obs}
 
 
 def uplift_table(spark, fits: dict, key: str | None = None) -> DataFrame:
-    """One row per regression."""
-    rows = [(k[0] if k else "all", f.n_clusters, f.n_clusters > 1, *uplift_summary(f).values(), f.value("promotion_flag"),
-             f.se("promotion_flag")) for k, f in sorted(fits.items())]
-    return spark.createDataFrame(rows, f"{key or 'scope'} string, n_sku long, entity_fe boolean, uplift_pct double, "
-                                       "ci_low_pct double, ci_high_pct double, p_value double, n_obs long, coef double, se double")
+    """One row per regression; where the promotion has no estimate, ``error`` says why and the estimates are missing."""
+    rows = []
+    for k, f in sorted(fits.items()):
+        coef, se, error = f.value("promotion_flag"), f.se("promotion_flag"), None
+        if math.isnan(coef):
+            error = "promotion_flag does not vary beside the effects"
+        elif math.isnan(se):
+            error = f"{f.n_obs} rows are too few for an error variance"
+        found = (None,) * 4 if error else tuple(uplift_summary(f).values())[:4]
+        rows.append((k[0] if k else "all", f.n_clusters, f.n_clusters > 1, *found, f.n_obs, None if error else coef, None if error else se, error))
+    return spark.createDataFrame(rows, f"{key or 'scope'} string, n_sku long, entity_fe boolean, uplift_pct double, ci_low_pct double, "
+                                       "ci_high_pct double, p_value double, n_obs long, coef double, se double, error string")
 
 
 def parity_twfe(panel: DataFrame) -> Fit:

@@ -94,11 +94,11 @@ def prediction_rows(gold: DataFrame, pred: DataFrame, model_id: str, fold_id: in
 
     joined = once(gold, LABEL, "actual").join(once(pred, "prediction", "prediction"), WEEK_KEYS, "full_outer")
     problem = (F.when(F.col("_n_actual").isNull() | F.col("_n_prediction").isNull(),
-                      F.raise_error(F.lit("prediction keys differ from validation keys")))
+                      F.raise_error(F.lit("a prediction or a validation row has no counterpart of the same keys")))
                .when((F.col("_n_actual") > 1) | (F.col("_n_prediction") > 1),
-                     F.raise_error(F.lit("keys must be unique")))
-               .when(~is_finite("actual"), F.raise_error(F.lit("actuals must be finite")))
-               .when(F.abs("prediction") == float("inf"), F.raise_error(F.lit("infinite predictions are invalid"))))
+                     F.raise_error(F.lit("a prediction or a validation row comes twice under the same keys")))
+               .when(~is_finite("actual"), F.raise_error(F.lit("an actual is null, NaN or infinite")))
+               .when(F.abs("prediction") == float("inf"), F.raise_error(F.lit("a prediction is infinite"))))
     # As a filter the rules hold whichever columns are read afterwards.
     return joined.filter(F.coalesce(problem.cast("boolean"), F.lit(True))).select(
         *WEEK_KEYS, "actual", "prediction", F.lit(model_id).alias("model_id"), F.lit(fold_id).alias("fold_id"))

@@ -195,7 +195,7 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
 def fit_models(train: DataFrame, specs: list[Spec], features: list[str] = FEATURE_COLS) -> dict[str, FittedModel]:
     """Each model once on the same rows; every label must be there."""
     if train.filter(F.col(LABEL).isNull()).limit(1).count():
-        raise ValueError("training labels must be complete")
+        raise ValueError("a training row has no label")
     fitted = side_by_side(train.sparkSession, [partial(fit, train, s, features) for s in specs])
     return {s.name: model for s, model in zip(specs, fitted)}
 

@@ -26,9 +26,9 @@ def fold_calendar(df: DataFrame, initial_train_end: str, val_fold_weeks: int = V
     weeks = sorted_weeks(df).withColumn("_n", F.count(F.lit(1)).over(everything))
     weeks = weeks.withColumn("_initial", F.sum(F.when(starts, 1).otherwise(0)).over(everything))
     problem = (F.when(F.col("_n") <= final_test_weeks,
-                      F.raise_error(F.lit("final_test_weeks is larger than the available week range")))
+                      F.raise_error(F.lit(f"a test of {final_test_weeks} weeks is larger than the whole panel")))
                .when(F.col("_initial") == 0,
-                     F.raise_error(F.lit("initial_train_end is before the first available week"))))
+                     F.raise_error(F.lit(f"training would end on {initial_train_end}, before the first week"))))
     cv_weeks = F.col("_n") - final_test_weeks - F.col("_initial")
     fold = F.floor((F.col("week_idx") - F.col("_initial")) / val_fold_weeks) + 1
     return weeks.select(

@@ -119,11 +119,11 @@ class LedgerStore:
                 return None
             raise
         if quick_fingerprint(stored) != marker["checksum"]:
-            raise ValueError(f"checkpoint checksum mismatch: {model_id}/{fold_id}")
+            raise ValueError(f"{model_id}/{fold_id}: the stored rows do not have the checksum of their marker")
         paired = prediction_rows(gold, stored.select(*WEEK_KEYS, "prediction"), model_id, fold_id)
         old = stored.select(*WEEK_KEYS, F.col("actual").alias("_old"))
         if paired.join(old, WEEK_KEYS).filter(~F.col("actual").eqNullSafe(F.col("_old"))).limit(1).count():
-            raise ValueError("checkpoint actuals differ from current data")
+            raise ValueError(f"{model_id}/{fold_id}: stored actuals differ from those of the panel")
         return paired
 
     def obtain(self, gold: DataFrame, model_id: str, fold_id: int, predict) -> DataFrame:
