@@ -42,6 +42,23 @@ def day_lookups(daily: DataFrame, offsets: list[int], observed: bool = False) ->
     return sent.groupBy(*SERIES, "target_date").agg(*cols)
 
 
+def look_back(rows: DataFrame, daily: DataFrame, offsets: list[int], observed: bool = False) -> DataFrame:
+    """``rows`` with daily_<k>..., the sales k days before each ``target_date``, zero where nothing was recorded.
+
+    Facts and rows are sorted once per series and every offset is a window frame of one day, so no fact is copied per offset.
+    """
+    columns = rows.columns
+    facts = daily.select(*SERIES, F.unix_date("date").alias("_day"), "units_sold", F.lit(1.0).alias("_seen"))
+    nothing = F.lit(None)
+    both = facts.withColumn("_row", nothing).unionByName(rows.select(
+        *SERIES, F.unix_date("target_date").alias("_day"), nothing.alias("units_sold"), nothing.alias("_seen"), F.struct(*columns).alias("_row")))
+    w = Window.partitionBy(*SERIES).orderBy("_day")
+    added = {f"daily_lag_{k}": F.coalesce(F.sum("units_sold").over(w.rangeBetween(-k, -k)), F.lit(0.0)) for k in offsets}
+    if observed:
+        added |= {f"daily_lag_{k}_observed": F.coalesce(F.max("_seen").over(w.rangeBetween(-k, -k)), F.lit(0.0)) for k in offsets}
+    return both.select("_row", *[c.alias(n) for n, c in added.items()]).filter("_row IS NOT NULL").select("_row.*", *added)
+
+
 def _calendar(day: str) -> dict[str, Column]:
     return {"target_dow": F.weekday(day), "target_month": F.month(day), "target_week_number": F.weekofyear(day)}
 
@@ -53,11 +70,9 @@ def fixed_origin_panel(daily: DataFrame, weekly: DataFrame) -> DataFrame:
     late = F.expr(f"date_sub(target_date, {shortest})") > last_known
     # As a filter the rule holds whichever columns are read afterwards.
     guard = F.when(late, F.raise_error(F.lit("a daily lag crosses the forecast origin")).cast("boolean")).otherwise(True)
-    looked = day_lookups(daily, [0, *FIXED_LAGS]).withColumnRenamed("daily_lag_0", "target_daily")
     rows = expand_horizon(weekly).filter(guard)
-    joined = rows.join(looked, [*SERIES, "target_date"], "left").fillna(
-        0.0, ["target_daily", *[f"daily_lag_{k}" for k in FIXED_LAGS]])
-    return joined.withColumns(_calendar("target_date"))
+    looked = look_back(rows, daily, [0, *FIXED_LAGS]).withColumnRenamed("daily_lag_0", "target_daily")
+    return looked.withColumns(_calendar("target_date"))
 
 
 def target_reconstruction(fixed: DataFrame) -> DataFrame:
@@ -70,10 +85,7 @@ def target_reconstruction(fixed: DataFrame) -> DataFrame:
 def same_weekday_features(daily: DataFrame, fixed: DataFrame) -> DataFrame:
     """Eight same-weekday lags, whether each was recorded, and their summaries and shares."""
     lags = [f"daily_lag_{k}" for k in WEEKDAY_LAGS]
-    seen = [f"{c}_observed" for c in lags]
-    looked = day_lookups(daily, WEEKDAY_LAGS, observed=True)
-    base = fixed.drop(*[c for c in lags if c in fixed.columns])
-    out = base.join(looked, [*SERIES, "target_date"], "left").fillna(0.0, lags + seen)
+    out = look_back(fixed.drop(*[c for c in lags if c in fixed.columns]), daily, WEEKDAY_LAGS, observed=True)
     values = F.array(*[F.col(c) for c in lags])
 
     def mean(xs: Column, n: int) -> Column:
