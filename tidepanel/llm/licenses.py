@@ -88,9 +88,13 @@ def _shingle_hashes(words: Column, size: int) -> Column:
 
 
 def _windows(hashes: Column, width: int, step: int, n_bands: int) -> Column:
-    """Overlapping windows of ``width`` shingles, one every ``step``, with their bands."""
+    """Overlapping windows of ``width`` shingles, one every ``step``, with their bands.
+
+    A window reads its shingles by position: a slice would copy the whole text's array once per window.
+    """
     starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.transform(starts, lambda s: F.slice(hashes, s, width)),
+    cut = F.transform(starts, lambda s: F.transform(F.sequence(s, F.least(s + width - 1, F.size(hashes))), lambda i: F.get(hashes, i - 1)))
+    return F.transform(cut,
                        lambda x: F.struct(x.alias("shingles"), _minima(x, n_bands).alias("bands")))
 
 
