@@ -155,3 +155,13 @@ def test_encoding_does_not_depend_on_size(learnable):
         assert models.fit(train, spec, COLS, LABEL, CATS).inputs == models.fit(many, spec, COLS, LABEL, CATS).inputs
     with pytest.raises(ValueError, match="channel"):
         models.fit(many.withColumn("channel", F.col("sku")), models.SPECS["global_gbt"].sized(trees=1, depth=1), COLS, LABEL, CATS)
+
+
+def test_encoders_alone_give_the_same_frame(learnable):
+    train, val = halves(learnable)
+    for name in ("global_gbt", "global_gbt_target", "global_rf"):
+        spec = models.SPECS[name].sized(trees=1, depth=1)
+        alone, fitted = models.fit_encoders(train, spec, COLS, LABEL, CATS), models.fit(train, spec, COLS, LABEL, CATS)
+        assert alone.model is None and alone.inputs == fitted.inputs
+        frames = [sorted(map(str, m.design(val).select("sku", "channel", "week", "features").collect())) for m in (alone, fitted)]
+        assert frames[0] == frames[1]

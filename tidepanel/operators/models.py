@@ -43,6 +43,9 @@ MISSING_BY_COLUMN = {"momentum": -1e6}
 # an error: it belongs into the spec's ``averaged``.
 MAX_INDEXED_LEVELS = 256
 MEAN_PRIOR_ROWS = 1.0
+# Training rows of one task, and tasks of one fit at most: a boosted fit is thousands of short jobs, so small tables must
+# not be cut into as many tasks as there are cores.
+ROWS_PER_TASK, MOST_TASKS = 1 << 16, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -98,9 +101,9 @@ def target_means(train: DataFrame, column: str, label: str) -> DataFrame:
 
 
 class FittedModel:
-    """A fitted regressor with the encoders learned from its training rows."""
+    """A fitted regressor with the encoders learned from its training rows; without ``learn`` the encoders alone."""
 
-    def __init__(self, spec: Spec, features: list[str], label: str, train: DataFrame, categorical: list[str]):
+    def __init__(self, spec: Spec, features: list[str], label: str, train: DataFrame, categorical: list[str], learn: bool = True):
         self.spec, self.features, self.label = spec, list(features), label
         cats = [c for c in categorical if c in features]
         self.numeric = [c for c in features if c not in cats]
@@ -121,18 +124,23 @@ class FittedModel:
         self.inputs = (self.numeric + [f"{c}_idx" for c in self.indexed] + [f"{c}_code" for c in self.coded]
                        + [f"{c}_mean" for c in self.averaged])
         stages.append(VectorAssembler(inputCols=self.inputs, outputCol="features"))
-        # Rows reach the learner in one placement and order that follow the data and the session's settings, not the cores
-        # at hand, so equal input gives an equal model.
+        prepared = self._prepare(train, training=True)
+        self.frame, self.model = Pipeline(stages=stages).fit(prepared), None
+        if learn:
+            self._learn(prepared, train)
+
+    def _learn(self, prepared: DataFrame, train: DataFrame) -> None:
+        # Rows reach the learner in one placement and order that follow the data, not the cores at hand or settings, so
+        # equal input gives an equal model.
+        tasks = min(MOST_TASKS, max(1, -(-train.count() // ROWS_PER_TASK)))
         keys = [c for c in (*SERIES, "week", "date", "horizon") if c in train.columns]
-        placed = self._prepare(train, training=True).repartition(*keys).sortWithinPartitions(*keys)
-        frame = Pipeline(stages=stages).fit(placed)
-        data = frame.transform(placed).select("features", F.col(label).cast("double").alias("label"))
+        placed = prepared.repartition(tasks, *keys).sortWithinPartitions(*keys)
+        data = self.frame.transform(placed).select("features", F.col(self.label).cast("double").alias("label"))
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.model = _learner(spec).fit(data)
+            self.model = _learner(self.spec).fit(data)
         finally:
             data.unpersist()
-        self.frame = frame
 
     def _prepare(self, df: DataFrame, training: bool = False) -> DataFrame:
         out = _numeric(df, self.numeric)
@@ -182,6 +190,12 @@ def fit(train: DataFrame, spec: Spec, features: list[str] = FEATURE_COLS, label:
     return FittedModel(spec, features, label, train, categorical)
 
 
+def fit_encoders(train: DataFrame, spec: Spec, features: list[str] = FEATURE_COLS, label: str = LABEL,
+                 categorical: list[str] = CATEGORICAL_COLS) -> FittedModel:
+    """What ``design`` needs, without fitting the regressor."""
+    return FittedModel(spec, features, label, train, categorical, learn=False)
+
+
 def fit_predict(train: DataFrame, val: DataFrame, spec: Spec, features: list[str] = FEATURE_COLS, label: str = LABEL,
                 categorical: list[str] = CATEGORICAL_COLS) -> DataFrame:
     return fit(train, spec, features, label, categorical).predict(val)

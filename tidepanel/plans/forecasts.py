@@ -44,11 +44,11 @@ def _summary(scored):
     return scored.withColumnRenamed(LABEL, "actual").select(*WEEK_KEYS, "actual", "prediction")
 
 
-# The frames do not depend on the learner, so one stump is fitted.
+# The frames do not depend on the learner, so none is fitted.
 @query("model_frame_tree")
 def model_frame_tree(spark, sf):
     def frame(train, val):
-        model = models.fit(train, models.SPECS["global_gbt"].sized(trees=1, depth=1))
+        model = models.fit_encoders(train, models.SPECS["global_gbt"])
         return model.design(val).select(*WEEK_KEYS, F.lit(len(model.inputs)).alias("n_inputs"), F.col("sku_mean"), F.col("lifecycle_stage_idx"))
     return _by_fold(spark, sf, frame)
 
@@ -56,7 +56,7 @@ def model_frame_tree(spark, sf):
 @query("model_frame_target_enc")
 def model_frame_target_enc(spark, sf):
     def frame(train, val):
-        model = models.fit(train, models.SPECS["global_gbt_target"].sized(trees=1, depth=1))
+        model = models.fit_encoders(train, models.SPECS["global_gbt_target"])
         return model.design(val).select(*WEEK_KEYS, "sku_mean", "category_mean", "lifecycle_stage_mean")
     return _by_fold(spark, sf, frame)
 
