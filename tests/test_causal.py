@@ -153,3 +153,20 @@ def test_switchers_against_stayers_brute_force(spark):
     assert got["all"].log_coef == pytest.approx(sum(num.values()) / sum(den.values()))
     for k in num:
         assert got[k].log_coef == pytest.approx(num[k] / den[k]) and got[k].switchers == den[k]
+
+
+def test_a_promotion_in_every_week_has_no_estimate_and_ends_no_query(spark, monkeypatch):
+    """Large tables have a promoted line in every week: the rows stay, without numbers."""
+    from tidepanel.plans import effects
+    rows = [(*r[:5], 1, r[6]) for r in made(6, 15, 0.4, seed=5, skus=3)]
+    panel = frame(spark, rows)
+    monkeypatch.setattr(effects, "_panel", lambda *_: causal.group_panel(panel))
+    monkeypatch.setattr(effects, "_effect_panel", lambda *_: panel)
+    got = effects.parity_twfe(spark, "").collect()
+    assert [(r.term, r.coef, r.se, r.n_obs) for r in got] == [("promotion_flag", None, None, 90)]
+    lag = rows_by(effects.distributed_lag(spark, ""), "term")
+    assert len(lag) == 8 and all(r.coef is None and r.se is None for r in lag.values())
+    assert [(r.hypothesis, r.wald, r.p_value, r.n_terms) for r in effects.distributed_lag_tests(spark, "").collect()] == [
+        ("lags", None, None, 4), ("leads", None, None, 2)]
+    for r in (effects.twfe_promotion_effect(spark, "").first(), effects.uplift_summary(spark, "").first()):
+        assert r.n_obs == 90 and r.uplift_pct is None

@@ -203,6 +203,8 @@ class Fit:
         """Joint test that the named coefficients are zero: statistic and chi-square p."""
         idx = [self.names.index(n) for n in names]
         b = self.coef[idx]
+        if np.isnan(b).any() or np.isnan(self.cov[np.ix_(idx, idx)]).any():
+            return math.nan, math.nan
         stat = float(b @ np.linalg.solve(self.cov[np.ix_(idx, idx)], b))
         return stat, chi2_sf(stat, len(idx))
 
@@ -261,12 +263,12 @@ def _score_sums(residual: DataFrame, names: list[str], fits: dict, by: list[str]
     return {tuple(r[b] for b in by): _gram(r, len(cols)) for r in totals}
 
 
-def two_way_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str, cluster: str, by: str | None = None) -> dict:
+def two_way_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str, cluster: str, by: str | None = None, strict: bool = True) -> dict:
     """OLS with entity and period effects and clustered errors; with ``by``, one regression per value in the same jobs.
 
     Rows with a missing regressor are dropped. A group with a single cluster gets heteroskedasticity-robust errors. A column that
     does not vary beside the effects and the columns before it has no coefficient (NaN) in that group and ends no other group;
-    without ``by`` it is an error. Too few rows for an error variance leave the covariance NaN.
+    without ``by`` it is an error unless ``strict`` is off. Too few rows for an error variance leave the covariance NaN.
     """
     keep = [c for c in dict.fromkeys([*([by] if by else []), entity, time, cluster])]
     data = df.select(*keep, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs]).dropna()
@@ -294,7 +296,7 @@ def two_way_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str, cl
     for key, r in info.items():
         gram = _gram(r, len(cols))
         kept[key] = _identified(gram, least[key])
-        if not by and len(kept[key]) < len(xs):
+        if strict and not by and len(kept[key]) < len(xs):
             raise ValueError(f"no variation left beside the effects in: {', '.join(x for i, x in enumerate(xs) if i not in kept[key])}")
         coef, inverse = np.zeros(len(xs)), np.zeros((len(xs), len(xs)))
         if kept[key]:
@@ -330,17 +332,22 @@ def _dummies(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
     return df, names
 
 
-def promotion_effect(df: DataFrame, by: str | None = None) -> dict:
+def promotion_effect(df: DataFrame, by: str | None = None, strict: bool = True) -> dict:
     """log(1 + units) on promotion, price and channel/region dummies with item and week effects."""
     design, dummies = _dummies(df.withColumn("_log", F.log1p("units_sold")), ["channel", "region"])
-    return two_way_fit(design, "_log", [*dummies, "price_unit", "promotion_flag"], "sku", "week", "sku", by)
+    return two_way_fit(design, "_log", [*dummies, "price_unit", "promotion_flag"], "sku", "week", "sku", by, strict)
 
 
 FIT_SCHEMA = "term string, coef double, se double, t_stat double, p_value double, ci_low double, ci_high double"
 
 
+def _known(rows: list[tuple]) -> list[tuple]:
+    """Rows of a result; where a coefficient could not be estimated, its numbers are missing."""
+    return [(name, None, *[None] * len(rest)) if math.isnan(value) else (name, value, *rest) for name, value, *rest in rows]
+
+
 def fit_table(spark, fit: Fit) -> DataFrame:
-    return spark.createDataFrame(fit.rows(), FIT_SCHEMA)
+    return spark.createDataFrame(_known(fit.rows()), FIT_SCHEMA)
 
 
 def uplift_summary(fit: Fit, term: str = "promotion_flag") -> dict:
@@ -366,9 +373,9 @@ def uplift_table(spark, fits: dict, key: str | None = None) -> DataFrame:
                                        "ci_high_pct double, p_value double, n_obs long, coef double, se double, error string")
 
 
-def parity_twfe(panel: DataFrame) -> Fit:
+def parity_twfe(panel: DataFrame, strict: bool = True) -> Fit:
     """Promotion and price with group (series) and period effects, clustered by item."""
-    return two_way_fit(panel, "log_units", ["promotion_flag", "price_unit"], "group_id", "time_id", "sku")[()]
+    return two_way_fit(panel, "log_units", ["promotion_flag", "price_unit"], "group_id", "time_id", "sku", strict=strict)[()]
 
 
 def twfe_weights(panel: DataFrame, controls: list[str] = ("price_unit",)) -> DataFrame:
@@ -405,10 +412,10 @@ def weight_summary(weights: DataFrame) -> DataFrame:
         F.sum(F.col("_w") * F.col("log_units")).alias("reconstructed_twfe_coef"))
 
 
-def distributed_lag(panel: DataFrame, lags: int = 4, leads: int = 2, controls: list[str] = ()) -> Fit:
+def distributed_lag(panel: DataFrame, lags: int = 4, leads: int = 2, controls: list[str] = (), strict: bool = True) -> Fit:
     """Current, lagged and future promotion with group and period effects, clustered by item."""
     design, terms = lead_lag_panel(panel, lags, leads)
-    return two_way_fit(design, "log_units", [*terms, *controls], "group_id", "time_id", "sku")[()]
+    return two_way_fit(design, "log_units", [*terms, *controls], "group_id", "time_id", "sku", strict=strict)[()]
 
 
 def distributed_lag_table(spark, fit: Fit, lags: int = 4) -> DataFrame:
@@ -417,13 +424,14 @@ def distributed_lag_table(spark, fit: Fit, lags: int = 4) -> DataFrame:
     z = total / se
     rows = fit.rows() + [("lag_sum", total, se, z, normal_sf2(z), total - 1.959963984540054 * se,
                           total + 1.959963984540054 * se)]
-    return spark.createDataFrame(rows, FIT_SCHEMA)
+    return spark.createDataFrame(_known(rows), FIT_SCHEMA)
 
 
 def distributed_lag_tests(spark, fit: Fit, lags: int = 4, leads: int = 2) -> DataFrame:
     """Joint tests: all lags zero (displacement), all leads zero (placebo)."""
     rows = [("lags", *fit.wald([f"promo_lag_{k}" for k in range(1, lags + 1)]), lags),
             ("leads", *fit.wald([f"promo_lead_{k}" for k in range(1, leads + 1)]), leads)]
+    rows = [(name, None, None, n) if math.isnan(stat) else (name, stat, p, n) for name, stat, p, n in rows]
     return spark.createDataFrame(rows, "hypothesis string, wald double, p_value double, n_terms long")
 
 
