@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day, rows_by, sales
-from tidepanel.operators import features, launch
+from tidepanel.operators import features, launch, rollup
+from tidepanel.plans import launches
+from tidepanel.schema import SERIES, WEEK_KEYS
 
 RECORD_SCHEMA = ("sku string, channel string, region string, week date, launch_units double, category string, segment string, "
                  "brand string, first_seen date, label_available_at date")
@@ -195,3 +197,63 @@ def test_launch_week_recovered_from_age(spark):
     rows = [("A", day("2022-01-31"), 4), ("A", day("2022-02-07"), 5), ("B", day("2022-01-31"), 4), ("B", day("2022-02-14"), 5)]
     got = rows_by(launch.launch_week_of(spark.createDataFrame(rows, "sku string, week date, sku_age long")), "sku")
     assert got["A"].launch_week == day("2022-01-03") and got["A"].consistent and not got["B"].consistent
+
+
+def sparse_facts(daily, seed=5, n=40):
+    """Few days per series over two years, with long and short gaps, repeated days and a week whose units are all missing."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        for c in ("c1", "c2"):
+            for d in rng.integers(0, 700, int(rng.integers(1, 9))):
+                rows += sales(f"S{i:02d}", c, "r", str(day("2022-01-05") + dt.timedelta(days=int(d))), [float(rng.integers(1, 9))] * int(rng.integers(1, 12)))
+    rows += sales("M", start="2022-01-03", units=[2.0]) + [(*r[:-1], None) for r in sales("M", start="2022-02-14", units=[1.0])]
+    return daily(rows + rows[:20])
+
+
+def as_rows(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+def test_early_history_builds_only_weeks_near_recorded_ones(daily):
+    facts = sparse_facts(daily).cache()
+    panel = rollup.next_week_target(rollup.lag_features(rollup.weekly_rollup(facts)))
+    days = facts.groupBy(*SERIES, F.trunc("date", "week").alias("week")).agg(F.countDistinct("date").alias("observed_days"))
+    ages = rollup.add_sku_age(panel.dropna(subset=["target_next_week"]), rollup.first_seen(facts)).join(days, WEEK_KEYS)
+    columns = [*WEEK_KEYS, "sku_age", *rollup.LAG_COLUMNS, "target_next_week", "observed_days"]
+    assert as_rows(launch.early_history_table(facts), *columns) == as_rows(ages, *columns)
+    near = rollup.weekly_rollup(facts, reach=(1, rollup.ROLLING_WEEKS)).count()
+    assert near <= 6 * days.count() and near < panel.count() / 2
+
+
+def test_runs_are_the_labelled_weeks(daily, spark):
+    facts = sparse_facts(daily).cache()
+    panel, runs = rollup.labelled_weeks(facts, keep_early_history=True), rollup.labelled_runs(facts)
+    week = F.explode(F.expr("sequence(week, date_add(week, CAST(7 * (n_weeks - 1) AS INT)), INTERVAL 7 DAYS)")).alias("week")
+    assert as_rows(runs.select(*SERIES, week), *WEEK_KEYS) == as_rows(panel, *WEEK_KEYS) and runs.count() < panel.count() / 3
+    held_out = spark.createDataFrame([("S03", day("2023-03-01")), ("S05", day("2023-11-01")), ("S07", day("2024-06-01"))], "sku string, first_seen date")
+    pools = [as_rows(launch.training_pool_sizes(p, held_out), "sku", "cutoff", "train_rows", "train_skus", "train_label_available_max") for p in (panel, runs)]
+    assert pools[0] == pools[1] and len(pools[0]) == 3
+
+
+def test_panel_is_stretched_for_targets_and_analogs_only(spark, daily, monkeypatch):
+    facts, seen = sparse_facts(daily).cache(), []
+    monkeypatch.setattr(launches, "_launch_daily", lambda *_: facts)
+    build = rollup.weekly_base
+    monkeypatch.setattr(launches.rollup, "weekly_base", lambda d, **k: seen.append(d) or build(d, **k))
+    got = launches._trajectory(spark, "")
+    skus = {r.sku for r in seen[0].select("sku").distinct().collect()}
+    held_out = launch.latest_items(features.item_table(facts), launches.HELD_OUT)
+    want = launch.analog_trajectory(build(facts, keep_early_history=True), launch.analog_launch(facts, held_out))
+    columns = [*WEEK_KEYS, "sku_age", "units_sold", "analog_sku", "pred_analog"]
+    assert as_rows(got, *columns) == as_rows(want, *columns) and len(skus) <= 2 * launches.HELD_OUT
+
+
+def test_age_and_label_do_not_sort_the_stretched_panel(daily):
+    """What an item's launch week needs is known before weeks are added, so nothing is moved or sorted above them."""
+    facts = sparse_facts(daily)
+    found = launch.launch_week_of(rollup.weekly_base(facts, keep_early_history=True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate")]
+    assert "Window" not in above and "Sort " not in above
+    labels = rollup.next_week_target(rollup.weekly_rollup(facts)).dropna(subset=["target_next_week"])
+    assert as_rows(rollup.labelled_weeks(facts, True), *WEEK_KEYS, "target_next_week") == as_rows(labels, *WEEK_KEYS, "target_next_week")
