@@ -10,7 +10,7 @@ from tidepanel.plans import scoring
 from tidepanel.plans.oracle_base import cte
 from tidepanel.plans.registry import query
 from tidepanel.schema import LABEL, SERIES, WEEK_KEYS
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, stored
 from tidepanel.sources import tables
 
 KEY_SPEC = "sku:s channel:s region:s week:d"
@@ -242,7 +242,7 @@ TRAIN_UNTIL = "1996-01-01"
            f"WHERE first_seen < DATE '{TRAIN_UNTIL}')) c_{c} ON l.{c} = c_{c}.v" for c in _CODED),
        "sku:s channel:s region:s " + " ".join(f"{c}_code:i" for c in _CODED))
 def train_vocab_codes(spark, sf):
-    records = cut_lineage(launch.seven_day_launch_records(tables.launch_daily(spark, sf)))
+    records = cut_lineage(launch.seven_day_launch_records(stored(tables.launch_daily(spark, sf).select(*launch.RECORD_INPUTS))))
     codes = cut_lineage(encode.fit_codes(records.filter(F.col("first_seen") < F.lit(TRAIN_UNTIL).cast("date")), _CODED))
     return encode.apply_codes(records, codes, _CODED).select(*SERIES, *[f"{c}_code" for c in _CODED])
 
@@ -268,7 +268,7 @@ FROM launches l LEFT JOIN (SELECT sku, avg(launch_units) AS e0, avg(observed_day
   WHERE first_seen < DATE '{TRAIN_UNTIL}' GROUP BY sku)) m""", "sku:s channel:s region:s sku_emb_0:f sku_emb_1:f")
 def embedding_lookup(spark, sf):
     """Vectors learned before the cutoff, looked up for every launch; later items fall back to the mean vector."""
-    records = cut_lineage(launch.seven_day_launch_records(tables.launch_daily(spark, sf)))
+    records = cut_lineage(launch.seven_day_launch_records(stored(tables.launch_daily(spark, sf).select(*launch.RECORD_INPUTS))))
     vectors = records.filter(F.col("first_seen") < F.lit(TRAIN_UNTIL).cast("date")).groupBy(F.col("sku").alias("entity")).agg(
         F.array(F.avg("launch_units"), F.avg("observed_days").cast("double")).alias("vector"))
     return encode.lookup_embeddings(records, vectors, "sku", 2).select(*SERIES, "sku_emb_0", "sku_emb_1")
