@@ -215,3 +215,16 @@ def test_side_by_side_keeps_order_and_raises(spark):
     assert side_by_side(spark, [lambda k=k: spark.range(k).count() for k in range(12)]) == list(range(12))
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, [lambda: 1, lambda: 1 // 0])
+
+
+def test_bootstrap_hashes_a_draw_once(spark):
+    from tidepanel.operators import resample
+    rows = [("a", 1.0, None), ("b", 2.0, 5.0), ("c", 4.0, 7.0), (None, 8.0, 1.0)]
+    clusters = spark.createDataFrame(rows, "sku string, x double, y double")
+    sums = resample.bootstrap_sums(clusters, ["sku"], ["x", "y"], 40, 42)
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    drawn = clusters.crossJoin(spark.range(1, 41).withColumnRenamed("id", "rep"))
+    drawn = drawn.withColumn("w", poisson_weight(F.lit(42), "rep", "sku")).filter("w > 0")
+    want = drawn.groupBy("rep").agg(F.sum(F.expr("w * x")).alias("x"), F.sum(F.expr("w * y")).alias("y"))
+    # Also repetitions that draw nothing have no row, and sums without a value stay NULL.
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, want.collect()))

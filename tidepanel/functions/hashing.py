@@ -31,10 +31,19 @@ def key_text(*cols: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
 
 
-def poisson_weight(*parts: Column | str) -> Column:
-    """Reproducible Poisson weight of mean 1, a function of the parts only; hex digits compare as the number does."""
-    h = F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+def poisson_draw(*parts: Column | str) -> Column:
+    """The hash, as hex text, that a Poisson weight follows from."""
+    return F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
+def weight_of(h: Column) -> Column:
+    """Poisson weight of mean 1 of a draw; hex digits compare as the number does."""
     weight = F.when(h < POISSON_BOUNDS[0], 0.0)
     for k, bound in enumerate(POISSON_BOUNDS[1:], 1):
         weight = weight.when(h < bound, float(k))
     return weight.otherwise(float(len(POISSON_BOUNDS)))
+
+
+def poisson_weight(*parts: Column | str) -> Column:
+    """Reproducible Poisson weight of mean 1, a function of the parts only."""
+    return weight_of(poisson_draw(*parts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.hashing import draw_index, poisson_weight
+from tidepanel.functions.hashing import draw_index, poisson_draw, weight_of
 from tidepanel.functions.numeric import is_finite, ratio
 from tidepanel.operators.identifiers import dense_ids
 from tidepanel.schema import SERIES
@@ -24,19 +24,29 @@ def clustered(rows: DataFrame, keys: list[str], measures: list[str]) -> DataFram
     return cut_lineage(rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures]))
 
 
-def weighted(clusters: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
-    """Each cluster once per repetition that draws it, with ``rep`` and its Poisson weight ``w``.
+def draws(clusters: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """Each cluster once per repetition, with ``rep`` and its Poisson weight ``w``, which is 0 where it is not drawn.
 
     Weights are hashes of (seed, repetition, cluster), so no draw is looked up, nothing is numbered, and a sum over the
     result combines where the clusters lie.
     """
     copies = clusters.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    return copies.withColumn("w", poisson_weight(F.lit(seed), "rep", *keys)).filter("w > 0")
+    return copies.withColumn("_draw", poisson_draw(F.lit(seed), "rep", *keys)).withColumn("w", weight_of(F.col("_draw"))).drop("_draw")
+
+
+def weighted(clusters: DataFrame, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """Each cluster once per repetition that draws it."""
+    return draws(clusters, keys, reps, seed).filter("w > 0")
 
 
 def bootstrap_sums(clusters: DataFrame, keys: list[str], measures: list[str], reps: int, seed: int) -> DataFrame:
-    """(rep, measures) of ``reps`` Poisson resamples; a task sends one row per repetition whatever its clusters."""
-    return weighted(clusters, keys, reps, seed).groupBy("rep").agg(*[F.sum(F.col("w") * F.col(m)).alias(m) for m in measures])
+    """(rep, measures) of ``reps`` Poisson resamples that draw a cluster; a task sends one row per repetition whatever its clusters.
+
+    Undrawn clusters are left out of the sums, not of the rows: a filter would be moved below the hash and hash again.
+    """
+    sums = draws(clusters, keys, reps, seed).groupBy("rep").agg(
+        *[F.sum(F.when(F.col("w") > 0, F.col("w") * F.col(m))).alias(m) for m in measures], F.max("w").alias("_drawn"))
+    return sums.filter("_drawn > 0").drop("_drawn")
 
 
 def _interval(diffs: DataFrame, by: list[str]) -> DataFrame:
