@@ -165,3 +165,23 @@ def test_encoders_alone_give_the_same_frame(learnable):
         assert alone.model is None and alone.inputs == fitted.inputs
         frames = [sorted(map(str, m.design(val).select("sku", "channel", "week", "features").collect())) for m in (alone, fitted)]
         assert frames[0] == frames[1]
+
+
+@pytest.mark.parametrize("spec", [*models.SPECS.values(), models.CANDIDATES["enhanced_huber"][1]], ids=lambda s: s.name)
+def test_learner_input_carries_no_joins(learnable, monkeypatch, capsys, spec):
+    """Its plan goes to every task of a fit, and a boosted fit has thousands."""
+    train, _ = halves(learnable)
+    plans, learner = [], models._learner
+
+    def spy(spec):
+        def fit(data):
+            capsys.readouterr()
+            data.explain()
+            plans.append((capsys.readouterr().out, data.count()))
+            return learner(spec).fit(data)
+        return type("Spy", (), {"fit": staticmethod(fit)})
+
+    monkeypatch.setattr(models, "_learner", spy)
+    models.fit(train, spec.sized(trees=2, depth=2), COLS, LABEL, CATS)
+    (plan, rows), = plans
+    assert "Scan ExistingRDD" in plan and "Join" not in plan and "Window" not in plan and rows == train.count()
